@@ -1,0 +1,4 @@
+from . import filings, profiles, rows, sequences  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
