@@ -1,4 +1,4 @@
-from . import filings, profiles, rows, sequences  # noqa: F401
+from . import arrays, filings, profiles, rows, sequences, texts  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

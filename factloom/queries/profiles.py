@@ -235,9 +235,9 @@ def yeo_johnson_values(t):
 
 @query("SELECT label, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS code, count(*) AS n FROM embeddings GROUP BY label")
 def level_codes(t):
-    levels = encode.fit_levels(t.embeddings, ["label"])
-    counts = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
-    return encode.encode_levels(counts.withColumn("code", F.col("label")), levels, ["code"])
+    coded = t.embeddings.withColumn("code", F.col("label"))
+    counts = coded.groupBy("label", "code").agg(F.count("*").alias("n"))
+    return encode.encode_levels(counts, encode.fit_levels(coded, ["code"]), ["code"])
 
 
 @query("""SELECT l_returnflag, CAST(row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 2 AS INTEGER) AS priority FROM lineitem GROUP BY 1

@@ -171,16 +171,13 @@ def dirty_amounts(t):
 
 
 @query("""SELECT doc_id, coalesce(TRY_CAST(array_to_string(regexp_extract_all(text, '\\d+\\.\\d+|\\d+'), '') AS DOUBLE), 0) >= 1 AS has_number,
-TRY_CAST(trim(substr(text, 1, 4)) AS DOUBLE) IS NOT NULL AS numeric_start FROM documents
-WHERE length(array_to_string(regexp_extract_all(text, '\\d+\\.\\d+|\\d+'), '')) < 300""".replace(
-    "WHERE length(array_to_string(regexp_extract_all(text, '\\d+\\.\\d+|\\d+'), '')) < 300", ""))
+TRY_CAST(trim(substr(text, 1, 4)) AS DOUBLE) IS NOT NULL AS numeric_start FROM documents""")
 def numbers_in_text(t):
     return t.documents.select("doc_id", (F.coalesce(amounts.parse_amount("text"), F.lit(0.0)) >= 1).alias("has_number"),
                               amounts.is_numeric(F.substring("text", 1, 4)).alias("numeric_start"))
 
 
-@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(embedding[i], 6) AS x FROM embeddings, range(1, 65) r(i)""".replace(
-    "round(embedding[i], 6)", "round(embedding[i]::DOUBLE, 5)"))
+@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(embedding[i]::VARCHAR::DOUBLE, 5) AS x FROM embeddings, range(1, 65) r(i)""")
 def array_text_round_trip(t):
     """Arrays written as text and read back."""
     text = t.embeddings.select("vec_id", F.to_json("embedding").alias("v"))
