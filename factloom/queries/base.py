@@ -7,12 +7,15 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import configure
+from ..session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_TABLES = {"documents", "pages", "conversations", "embeddings"}
+
+
 class Tables:
     """The given tables by name: ``t.orders`` reads ``orders.parquet``."""
 
@@ -23,7 +26,8 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        df = self.spark.read.parquet(self.path(name))
+        return spread(df) if name in TEXT_TABLES else df
 
 
 def query(sql: str | None = None):

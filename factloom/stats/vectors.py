@@ -129,9 +129,9 @@ def update_codebook(state: DataFrame, assigned: DataFrame, decay: float = 0.99,
             .select(code, "ema_count", "ema_sum", "code_vec"))
 
 
-def _batches(df: DataFrame, key: str, vec: str, n: int, seed: int) -> DataFrame:
+def _batches(df: DataFrame, key: str, vec: str, n: int, seed: int, side: str) -> DataFrame:
     ranked = hash_rank(df.select(key, vec), key, seed, out="_rank", total="_total")
-    return ranked.select(F.expr(f"(_rank - 1) % {n}").cast("bigint").alias("batch"), vec)
+    return ranked.select(F.expr(f"(_rank - 1) % {n}").cast("bigint").alias("batch"), F.lit(side).alias("side"), F.col(vec).alias("v"))
 
 
 def mmd_by_batch(a: DataFrame, b: DataFrame, key: str, vec: str = "vec", batch_rows: int = 200, seed: int = 0) -> DataFrame:
@@ -143,20 +143,20 @@ def mmd_by_batch(a: DataFrame, b: DataFrame, key: str, vec: str = "vec", batch_r
     """
     n = max(1, -(-max(a.count(), b.count()) // batch_rows))
 
-    def one(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"batch": [key_[0]], "n_a": [len(left)], "n_b": [len(right)], "mmd": [None]})
-        x, y = _stack(left[vec]), _stack(right[vec])
+    def kernel(p, q):
+        d2 = (p ** 2).sum(1)[:, None] + (q ** 2).sum(1)[None, :] - 2 * p @ q.T
+        return np.exp(-np.maximum(d2, 0) / p.shape[1] ** 2).mean()
 
-        def kernel(p, q):
-            d2 = (p ** 2).sum(1)[:, None] + (q ** 2).sum(1)[None, :] - 2 * p @ q.T
-            return np.exp(-np.maximum(d2, 0) / p.shape[1] ** 2).mean()
-        value = kernel(x, x) + kernel(y, y) - 2 * kernel(x, y)
-        return pd.DataFrame({"batch": [key_[0]], "n_a": [len(x)], "n_b": [len(y)], "mmd": [value]})
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"]
+        value = None
+        if len(left) and len(right):
+            x, y = _stack(left["v"]), _stack(right["v"])
+            value = kernel(x, x) + kernel(y, y) - 2 * kernel(x, y)
+        return pd.DataFrame({"batch": [pdf["batch"].iat[0]], "n_a": [len(left)], "n_b": [len(right)], "mmd": [value]})
 
-    left = _batches(a, key, vec, n, seed).groupBy("batch")
-    right = _batches(b, key, vec, n, seed + 1).groupBy("batch")
-    return left.cogroup(right).applyInPandas(one, "batch bigint, n_a bigint, n_b bigint, mmd double")
+    both = _batches(a, key, vec, n, seed, "a").unionByName(_batches(b, key, vec, n, seed + 1, "b"))
+    return both.groupBy("batch").applyInPandas(one, "batch bigint, n_a bigint, n_b bigint, mmd double")
 
 
 def pca_fit(df: DataFrame, vec: str = "vec", k: int | None = None, variance: float | None = None) -> DataFrame:

@@ -26,14 +26,16 @@ def counts_by_month(df: DataFrame, date: str, by=()) -> DataFrame:
 
 def counts_by_day_stream(arrivals: DataFrame, ts: str, by=(), late: str = "2 days") -> DataFrame:
     """Counts per day of a stream; a day is final once the watermark has passed it."""
-    counts = (arrivals.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), *by)
+    timed = arrivals.withColumn(ts, F.col(ts).cast("timestamp"))
+    counts = (timed.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), *by)
               .agg(F.count(F.lit(1)).alias("n")))
     return counts.select(F.to_date("w.start").alias("day"), *by, "n")
 
 
 def dedupe_stream(arrivals: DataFrame, key, ts: str, late: str = "1 hour") -> DataFrame:
     """First arrival per key; state is kept as long as the watermark allows duplicates."""
-    return arrivals.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
+    timed = arrivals.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
 
 
 def codebook_stream(arrivals: DataFrame, state_path: str, checkpoint: str, vec: str, decay: float = 0.99) -> None:
