@@ -61,13 +61,12 @@ def decode_levels(df: DataFrame, levels: DataFrame, cols) -> DataFrame:
     return df
 
 
-def level_names(levels: DataFrame, col: str) -> list[str]:
-    """The levels of one column in code order, for building columns; limited to ``MAX_LEVELS``."""
-    rows = (levels.where(F.col("column") == col).orderBy("code").limit(MAX_LEVELS + 1)
-            .select("level").collect())
+def level_names(levels: DataFrame, cols) -> dict[str, list[str]]:
+    """Levels per column in code order, for building columns; at most ``MAX_LEVELS`` in all."""
+    rows = levels.where(F.col("column").isin(*cols)).orderBy("column", "code").limit(MAX_LEVELS + 1).collect()
     if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels; lump the rare ones first")
-    return [r["level"] for r in rows]
+        raise ValueError(f"more than {MAX_LEVELS} levels; lump the rare ones first")
+    return {c: [r["level"] for r in rows if r["column"] == c] for c in cols}
 
 
 def one_hot_name(col: str, level: str) -> str:

@@ -13,7 +13,7 @@ Three ways are used, each exact:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.keys import hash60
 from ..session import cut_lineage
@@ -36,22 +36,22 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in on])
 
 
-def _cut_points(df: DataFrame, value: str, buckets: int) -> Column:
-    """Scalar struct of approximate quantiles: all of them, and every ``step``-th one."""
-    step = max(2, round(buckets ** 0.5))
-    probs = [i / buckets for i in range(1, buckets)]
-    approx = df.agg(F.percentile_approx(value, probs, buckets * 20).alias("cuts"))
-    spread = approx.select(F.struct(
-        F.col("cuts"),
-        F.filter("cuts", lambda c, i: (i + 1) % step == 0).alias("coarse")).alias("c"))
-    return spread.scalar()
-
+def _with_bucket(df: DataFrame, value: str, base: DataFrame, col: str, buckets: int, out: str = "_b") -> DataFrame:
+    """Attach the number of approximate quantiles of ``base[col]`` at or below ``value`` (0 to buckets - 1).
 
-def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
-    """Number of cut points at or below the value, found in two short scans."""
-    step = max(2, round(buckets ** 0.5))
-    first = F.size(F.filter(cuts["coarse"], lambda c: c <= value)) * step
-    return first + F.size(F.filter(F.slice(cuts["cuts"], first + 1, F.lit(step)), lambda c: c <= value))
+    The quantiles come from one scan without a shuffle of rows and are one small array; each step of
+    the binary search is one column, so it stays in generated code.
+    """
+    if buckets & (buckets - 1):
+        raise ValueError("the number of buckets must be a power of two")
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = base.agg(F.percentile_approx(col, probs, buckets * 4).alias("cuts")).scalar()
+    marked, step = df.withColumns({"_cuts": cuts, out: F.lit(0)}), buckets // 2
+    while step:
+        above = F.get("_cuts", F.col(out) + F.lit(step - 1)) <= F.col(value)
+        marked = marked.withColumn(out, F.col(out) + F.when(above, step).otherwise(0))
+        step //= 2
+    return marked.drop("_cuts")
 
 
 def value_positions(df: DataFrame, col: str, by=(), buckets: int = BUCKETS) -> DataFrame:
@@ -60,10 +60,9 @@ def value_positions(df: DataFrame, col: str, by=(), buckets: int = BUCKETS) -> D
     Columns: the group columns, ``value``, ``n``, ``before``, ``total``.
     """
     by = list(by)
-    counts = (df.where(F.col(col).isNotNull())
-              .groupBy(*by, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    cuts = _cut_points(counts, "value", buckets)
-    counts = counts.withColumn("_cuts", cuts).withColumn("_b", _bucket(F.col("value"), F.col("_cuts"), buckets)).drop("_cuts")
+    # count(col) is 0 for the NULL value, so a computed column is not evaluated again by a pushed-down filter
+    counts = df.groupBy(*by, F.col(col).alias("value")).agg(F.count(col).alias("n")).where("n > 0")
+    counts = _with_bucket(counts, "value", df, col, buckets)
     per_bucket = counts.groupBy(*by, "_b").agg(F.sum("n").alias("_m"))
     across = Window.partitionBy(*by)
     offsets = per_bucket.select(

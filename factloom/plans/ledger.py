@@ -54,8 +54,7 @@ def prepare_ledger(rows: DataFrame, factors, numbers, value: str, lump=None, top
     for c in lump or ():
         rows = lump_top_n(rows, c, top)
     rows = rows.withColumn("is_debit", F.when(F.col(value) >= 0, 1).otherwise(0)).withColumn(value, F.log1p(F.abs(value)))
-    table = fit_levels(rows, factors)
-    levels = {c: level_names(table, c) for c in factors}
+    levels = level_names(fit_levels(rows, factors), factors)
     limits = fit_minmax(rows, [value, *numbers])
     out = minmax_scale(rows, limits).fillna(0.0, [value, *numbers])
     for c in factors:

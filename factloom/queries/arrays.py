@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx, vectors as vx
 from ..operators import boxes
 from ..plans import text as plan
+from ..session import cut_lineage
 from .base import query, round_columns, rounded
 
 ARR = r"list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')"
@@ -19,7 +20,8 @@ def _tokens(t):
 @query(f"""WITH a AS (SELECT doc_id, len({ARR}) AS n FROM documents) SELECT doc_id, CAST(n AS INTEGER) AS n FROM a
 WHERE n >= 10 AND n <= floor((SELECT quantile_cont(n, 0.9) FROM a))""")
 def token_crop(t):
-    return plan.crop_by_length(_tokens(t), "tokens", 10, 0.9).select("doc_id", F.size("tokens").alias("n"))
+    tokens = cut_lineage(_tokens(t))  # tokenised once, read for the limit and for the crop
+    return plan.crop_by_length(tokens, "tokens", 10, 0.9).select("doc_id", F.size("tokens").alias("n"))
 
 
 @query(f"""WITH a AS (SELECT doc_id, {ARR} AS a FROM documents), p AS (SELECT doc_id, list_filter([list_position(a, 'the'), list_position(a, 'and'), list_position(a, 'de')],

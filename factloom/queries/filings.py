@@ -9,6 +9,7 @@ from ..functions.amounts import case_map, fix_sign, is_currency, to_signed, unit
 from ..functions.keys import make_key, split_prefix
 from ..operators import dedupe, filters, groups, joins, reshape, sparsity
 from ..plans import filings as plan
+from ..session import spread
 from .base import Tables, query, round_columns, rounded
 
 # line items read as facts: report = order, tag = part group, unit by return flag
@@ -34,8 +35,7 @@ DEDUPED = f"""{FACTS}, {UNIT_SEQ}, ranked AS (SELECT f.*, coalesce(u.priority, (
 
 
 def facts(t: Tables) -> DataFrame:
-    l = t.lineitem
-    return l.select(
+    return spread(t.lineitem).select(
         F.col("l_orderkey").alias("report"),
         F.concat(F.lit("Tag"), (F.col("l_partkey") % 8).cast("string")).alias("tag"),
         F.when(F.col("l_linenumber") == 7, "shares").otherwise(case_map("l_returnflag", UNITS)).alias("uom"),
@@ -368,7 +368,7 @@ def factor_codes(t):
 @query("SELECT o_orderkey, " + ", ".join(
     f"CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END AS \"o_orderpriority_{p}\"" for p in PRIORITIES) + " FROM orders")
 def one_hot_columns(t):
-    names = encode.level_names(encode.fit_levels(t.orders, ["o_orderpriority"]), "o_orderpriority")
+    names = encode.level_names(encode.fit_levels(t.orders, ["o_orderpriority"]), ["o_orderpriority"])["o_orderpriority"]
     return encode.one_hot(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", names)
 
 
@@ -377,7 +377,7 @@ def decode_orders(t):
     """Records encoded for a model (one-hot, logged, min-max) and decoded again."""
     rows = t.orders.select("o_orderkey", "o_orderpriority", F.log1p("o_totalprice").alias("o_totalprice"),
                            F.unix_date(F.to_date("o_orderdate")).alias("day"))
-    names = {"o_orderpriority": encode.level_names(encode.fit_levels(rows, ["o_orderpriority"]), "o_orderpriority")}
+    names = encode.level_names(encode.fit_levels(rows, ["o_orderpriority"]), ["o_orderpriority"])
     limits = scale.fit_minmax(rows, ["o_totalprice", "day"])
     encoded = encode.one_hot(scale.minmax_scale(rows, limits), "o_orderpriority", names["o_orderpriority"])
     return encode.decode_records(encoded, names, limits, logged=["o_totalprice"], dates=["day"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..features import inject
 from ..functions.keys import uniform
 from ..plans import ledger as plan
+from ..session import cut_lineage
 from ..stats import errors, tests
 from .base import Tables, query, round_columns, rounded
 from .filings import _u
@@ -130,14 +131,14 @@ def top_anomalies(t):
     return errors.top_anomalies(scored, 100, "error", "o_orderkey", "fake").select("o_orderkey", "error")
 
 
-@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pow(l_quantity / 50 - 0.5, 2), 9) AS quantity, round(pow(l_discount * 10 - 0.5, 2), 9) AS discount,
-round(greatest(pow(l_tax * 12.5 - 0.5, 2), pow(l_extendedprice / 100000 - 0.5, 2)), 9) AS money FROM lineitem),
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(pow(l_quantity / 50 - 0.5, 2), 6) AS quantity, round(pow(l_discount * 10 - 0.5, 2), 6) AS discount,
+round(greatest(pow(l_tax * 12.5 - 0.5, 2), pow(l_extendedprice / 100000 - 0.5, 2)), 6) AS money FROM lineitem),
 l AS (UNPIVOT e ON quantity, discount, money INTO NAME f VALUE v), r AS (SELECT *, list_sort([{'e': -quantity, 'f': 'quantity'}, {'e': -discount, 'f': 'discount'}, {'e': -money, 'f': 'money'}]) AS s FROM e)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s[1].f AS field_1, -s[1].e AS error_1, s[2].f AS field_2, -s[2].e AS error_2 FROM r""".replace(
     "l AS (UNPIVOT e ON quantity, discount, money INTO NAME f VALUE v), ", ""))
 def top_fields(t):
     sq = {"q": F.col("l_quantity") / 50, "d": F.col("l_discount") * 10, "t": F.col("l_tax") * 12.5, "p": F.col("l_extendedprice") / 100000}
-    rows = t.lineitem.withColumns({k: F.round(F.pow(v - 0.5, F.lit(2.0)), 9) for k, v in sq.items()})
+    rows = t.lineitem.withColumns({k: F.round(F.pow(v - 0.5, F.lit(2.0)), 6) for k, v in sq.items()})
     return errors.top_fields_per_row(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
                                      {"quantity": ["q"], "discount": ["d"], "money": ["t", "p"]}, 2)
 
@@ -177,7 +178,8 @@ def ledger_anomalies(t):
     """The ledger encoded, reconstructed by a linear model, and the fields that explain each error."""
     rows = _rows(t).select("document_ref", "trans_type", "operator", "document_ref_l1", "account_digit7", "bc_trans_value", "posting_delay")
     factors, numbers = ["trans_type", "operator", "document_ref_l1", "account_digit7"], ["posting_delay", "bc_trans_value"]
-    encoded, levels, _ = plan.prepare_ledger(rows, factors, ["posting_delay"], "bc_trans_value")
+    # levels, limits and the model are fitted in several passes: read the joined rows once
+    encoded, levels, _ = plan.prepare_ledger(cut_lineage(rows), factors, ["posting_delay"], "bc_trans_value")
     return plan.score_ledger(encoded, levels, numbers, "document_ref", 8)[1]
 
 

@@ -177,12 +177,12 @@ def numbers_in_text(t):
                               amounts.is_numeric(F.substring("text", 1, 4)).alias("numeric_start"))
 
 
-@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(embedding[i]::VARCHAR::DOUBLE, 5) AS x FROM embeddings, range(1, 65) r(i)""")
+@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(embedding[i]::VARCHAR::DOUBLE, 10) AS x FROM embeddings, range(1, 65) r(i)""")
 def array_text_round_trip(t):
     """Arrays written as text and read back."""
     text = t.embeddings.select("vec_id", F.to_json("embedding").alias("v"))
     return (parse_array_cols(text, ["v"], "double").select("vec_id", F.posexplode("v").alias("pos", "x"))
-            .withColumn("x", F.round("x", 5)))
+            .withColumn("x", F.round("x", 10)))
 
 
 @query("""WITH g AS (SELECT y, q FROM range(1995, 2002) a(y), range(1, 5) b(q)), o AS (SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q,
