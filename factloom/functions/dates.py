@@ -32,6 +32,12 @@ def duration_months(start, end) -> Column:
     return F.round(F.datediff(_col(end), _col(start)) / F.lit(DAYS_PER_MONTH)).cast("int")
 
 
+def yyyymmdd(col) -> Column:
+    """Date to the integer yyyymmdd."""
+    d = _col(col)
+    return F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)
+
+
 def year_month(col) -> Column:
     """Date to the integer yyyymm."""
     d = _col(col)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..features import encode, scale, split
 from ..functions.amounts import case_map, fix_sign, is_currency, to_signed, unit_method
+from ..functions.dates import yyyymmdd
 from ..functions.keys import make_key, split_prefix
 from ..operators import dedupe, filters, groups, joins, reshape, sparsity
 from ..plans import filings as plan
@@ -40,7 +41,7 @@ def facts(t: Tables) -> DataFrame:
         F.concat(F.lit("Tag"), (F.col("l_partkey") % 8).cast("string")).alias("tag"),
         F.when(F.col("l_linenumber") == 7, "shares").otherwise(case_map("l_returnflag", UNITS)).alias("uom"),
         case_map(F.col("l_suppkey") % 4, dict(enumerate(VERSIONS))).alias("version"),
-        F.date_format("l_shipdate", "yyyyMMdd").cast("int").alias("ddate"), F.col("l_linenumber").alias("qtrs"),
+        yyyymmdd("l_shipdate").alias("ddate"), F.col("l_linenumber").alias("qtrs"),
         F.col("l_extendedprice").alias("value"), "l_partkey", "l_suppkey", "l_tax")
 
 
@@ -218,7 +219,7 @@ def best_columns_sampled(t):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS ddate FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '2000-08-01'""")
 def plausible_dates(t):
-    dated = t.lineitem.withColumn("ddate", F.date_format("l_shipdate", "yyyyMMdd").cast("int"))
+    dated = t.lineitem.withColumn("ddate", yyyymmdd("l_shipdate"))
     return filters.filter_period(dated, "ddate", 19961231, 20000801).select("l_orderkey", "l_linenumber", "l_partkey", "ddate")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import term_tokens
 from ..operators.groups import top_n_per_group
@@ -21,14 +21,16 @@ def class_tfidf(df: DataFrame, cls: str, text: str, stop_words=None) -> DataFram
     Texts are never joined together: words are counted per class, merged before the shuffle.
     """
     stop = default_stop_words() if stop_words is None else list(stop_words)
-    tokens = df.select(cls, F.explode(term_tokens(text)).alias("word"))
+    # rows without a class are left out here, so that both uses of the counts share one shuffle
+    tokens = df.where(F.col(cls).isNotNull()).select(cls, F.explode(term_tokens(text)).alias("word")).where("word is not null")
     if stop:
         tokens = tokens.where(~F.col("word").isin(*stop))
     counts = tokens.groupBy(cls, "word").agg(F.count(F.lit(1)).alias("n"))
     per_class = counts.groupBy(cls).agg(F.sum("n").alias("_w"))
-    per_word = counts.groupBy("word").agg(F.sum("n").alias("_t"))
+    # a word has at most one row per class
+    per_word = F.sum("n").over(Window.partitionBy("word"))
     texts = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    return (counts.join(per_class, cls).join(per_word, "word")
+    return (counts.withColumn("_t", per_word).join(per_class, cls)
             .withColumn("tf", F.col("n") / F.col("_w"))
             .withColumn("idf", F.ln(texts / F.col("_t")))
             .withColumn("score", F.col("tf") * F.col("idf"))

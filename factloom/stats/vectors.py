@@ -10,7 +10,7 @@ from ..functions.vectors import dct_weight, manhattan, standardise_array
 from ..operators.groups import attach_aggregates
 from ..operators.order import exact_quantiles, hash_rank, join_null_safe
 
-MAX_CODES = 65_536
+MAX_BOOK_VALUES = 4_000_000  # 32 MB per task
 
 
 def _collect_by_position(long: DataFrame, by, value: str, out: str) -> DataFrame:
@@ -88,9 +88,10 @@ def nearest_code(df: DataFrame, codebook: DataFrame, vec: str = "vec", code: str
 
     The codebook's size is checked before it is sent to the tasks.
     """
-    rows = codebook.select(code, code_vec).orderBy(code).limit(MAX_CODES + 1).collect()
-    if len(rows) > MAX_CODES:
-        raise ValueError(f"codebook has more than {MAX_CODES} codes")
+    size = codebook.agg(F.coalesce(F.sum(F.size(code_vec)), F.lit(0))).first()[0]
+    if size > MAX_BOOK_VALUES:
+        raise ValueError(f"codebook has more than {MAX_BOOK_VALUES} numbers")
+    rows = codebook.select(code, code_vec).orderBy(code).collect()
     codes, book = np.array([r[code] for r in rows]), _matrix(rows, code_vec)
     half = (book ** 2).sum(axis=1) / 2
     code_type = dict(codebook.dtypes)[code]
