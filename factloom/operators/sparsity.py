@@ -109,14 +109,15 @@ def best_column_subset(df: DataFrame, cols, ks, attempts: int = 10_000, seed: in
     weights = [counts[c] for c in used]
     tested = [(k, m) for k in ks if k <= len(used) for m in _candidate_masks(weights, k, attempts, seed)]
     masks = np.array([m for _, m in tested], dtype=np.int64)
+    step = max(1, 4_000_000 // max(1, len(masks)))  # patterns tested at once
 
     def count_matches(batches):
         totals = np.zeros(len(masks), dtype=np.int64)
         for batch in batches:
             pattern, n = batch["mask"].to_numpy(), batch["n"].to_numpy()
-            for start in range(0, len(pattern), 1024):
-                part = pattern[start:start + 1024, None]
-                totals += ((part & masks) == masks).T @ n[start:start + 1024]
+            for start in range(0, len(pattern), step):
+                part = pattern[start:start + step, None]
+                totals += ((part & masks) == masks).T @ n[start:start + step]
         hit = np.nonzero(totals)[0]
         yield pd.DataFrame({"candidate": hit, "n": totals[hit]})
 

@@ -30,7 +30,8 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 
     Works on the counts of (a, b); empty cells enter through the margins.
     """
-    cells = df.dropna("any", subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
+    # both filters are explicit, so that all uses of the counts share one shuffle
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
     total = cells.agg(F.sum("o").cast("double")).scalar()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.vectors import dct_weight, manhattan, standardise_array
 from ..operators.groups import attach_aggregates
 from ..operators.order import exact_quantiles, hash_rank, join_null_safe
+from ..session import cut_lineage
 
 MAX_BOOK_VALUES = 4_000_000  # 32 MB per task
 
@@ -79,8 +80,11 @@ def _matrix(rows, field: str) -> np.ndarray:
     return np.array([r[field] for r in rows], dtype=np.float64)
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(np.float64)
+def stacker():
+    """A function from a series of vectors to a matrix that travels to the tasks by value, without this package."""
+    def stack(series: pd.Series) -> np.ndarray:
+        return np.stack(series.to_numpy()).astype(np.float64)
+    return stack
 
 
 def nearest_code(df: DataFrame, codebook: DataFrame, vec: str = "vec", code: str = "code", code_vec: str = "code_vec") -> DataFrame:
@@ -94,14 +98,14 @@ def nearest_code(df: DataFrame, codebook: DataFrame, vec: str = "vec", code: str
     rows = codebook.select(code, code_vec).orderBy(code).collect()
     codes, book = np.array([r[code] for r in rows]), _matrix(rows, code_vec)
     half = (book ** 2).sum(axis=1) / 2
-    code_type = dict(codebook.dtypes)[code]
+    code_type, stack = dict(codebook.dtypes)[code], stacker()
 
     @F.pandas_udf(f"struct<{code}:{code_type},distance:double>")
     def assign(v: pd.Series) -> pd.DataFrame:
         best, dist = [], []
         step = max(1, 4_000_000 // len(codes))
         for start in range(0, len(v), step):
-            x = _stack(v.iloc[start:start + step])
+            x = stack(v.iloc[start:start + step])
             pick = np.argmin(half - x @ book.T, axis=1)
             best.append(codes[pick])
             dist.append(np.sqrt(((x - book[pick]) ** 2).sum(axis=1)))
@@ -144,6 +148,8 @@ def mmd_by_batch(a: DataFrame, b: DataFrame, key: str, vec: str = "vec", batch_r
     """
     n = max(1, -(-max(a.count(), b.count()) // batch_rows))
 
+    stack = stacker()
+
     def kernel(p, q):
         d2 = (p ** 2).sum(1)[:, None] + (q ** 2).sum(1)[None, :] - 2 * p @ q.T
         return np.exp(-np.maximum(d2, 0) / p.shape[1] ** 2).mean()
@@ -152,7 +158,7 @@ def mmd_by_batch(a: DataFrame, b: DataFrame, key: str, vec: str = "vec", batch_r
         left, right = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"]
         value = None
         if len(left) and len(right):
-            x, y = _stack(left["v"]), _stack(right["v"])
+            x, y = stack(left["v"]), stack(right["v"])
             value = kernel(x, x) + kernel(y, y) - 2 * kernel(x, y)
         return pd.DataFrame({"batch": [pdf["batch"].iat[0]], "n_a": [len(left)], "n_b": [len(right)], "mmd": [value]})
 
@@ -192,34 +198,34 @@ def _pca_params(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def pca_transform(df: DataFrame, model: DataFrame, vec: str = "vec", out: str = "components") -> DataFrame:
     """Coordinates of each centred vector along the components."""
-    loads, mean = _pca_params(model)
+    (loads, mean), stack = _pca_params(model), stacker()
 
     @F.pandas_udf("array<double>")
     def project(v: pd.Series) -> pd.Series:
-        return pd.Series(list((_stack(v) - mean) @ loads.T)) if len(v) else pd.Series([], dtype=object)
+        return pd.Series(list((stack(v) - mean) @ loads.T)) if len(v) else pd.Series([], dtype=object)
 
     return df.withColumn(out, project(vec))
 
 
 def pca_reconstruct(df: DataFrame, model: DataFrame, components: str = "components", out: str = "reconstructed") -> DataFrame:
-    loads, mean = _pca_params(model)
+    (loads, mean), stack = _pca_params(model), stacker()
 
     @F.pandas_udf("array<double>")
     def rebuild(c: pd.Series) -> pd.Series:
-        return pd.Series(list(_stack(c) @ loads + mean)) if len(c) else pd.Series([], dtype=object)
+        return pd.Series(list(stack(c) @ loads + mean)) if len(c) else pd.Series([], dtype=object)
 
     return df.withColumn(out, rebuild(components))
 
 
 def pca_errors(df: DataFrame, model: DataFrame, vec: str = "vec", out: str = "error") -> DataFrame:
     """Mean squared reconstruction error per row."""
-    loads, mean = _pca_params(model)
+    (loads, mean), stack = _pca_params(model), stacker()
 
     @F.pandas_udf("double")
     def error(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype="float64")
-        x = _stack(v) - mean
+        x = stack(v) - mean
         return pd.Series(((x - x @ loads.T @ loads) ** 2).mean(axis=1))
 
     return df.withColumn(out, error(vec))
@@ -261,7 +267,7 @@ def cluster_vectors(df: DataFrame, k: int, vec: str = "vec", q: float = 0.95, se
     model = KMeans(k=k, seed=seed, featuresCol="features").fit(wide)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     book = df.sparkSession.createDataFrame(centres, "cluster int, centre array<double>")
-    near = nearest_code(df, book, vec, "cluster", "centre")
+    near = cut_lineage(nearest_code(df, book, vec, "cluster", "centre"))  # read for the limits and for the result
     cut = exact_quantiles(near, "distance", {"_q": q}, ["cluster"])
     return (near.join(cut, "cluster")
             .withColumn("cluster", F.when(F.col("distance") > F.col("_q"), outlier).otherwise(F.col("cluster")))
