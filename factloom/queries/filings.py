@@ -24,7 +24,7 @@ FACTS = """facts AS (SELECT l_orderkey AS report, 'Tag' || CAST(l_partkey % 8 AS
   CASE l_suppkey % 4 WHEN 0 THEN 'us-gaap/2018' WHEN 1 THEN 'ifrs/2017' WHEN 2 THEN 'dei' ELSE 'other' END AS version,
   CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS ddate, l_linenumber AS qtrs, l_extendedprice AS value,
   l_partkey, l_suppkey, l_tax FROM lineitem)"""
-RATES = """rates AS (SELECT ddate // 100 AS month, uom, round(avg(l_tax) + 0.5, 4) AS rate FROM facts
+RATES = """rates AS (SELECT ddate // 100 AS month, uom, avg(l_tax) + 0.5 AS rate FROM facts
   WHERE uom IN ('EUR', 'GBP') GROUP BY 1, 2)"""
 UNIT_SEQ = """unit_seq AS (SELECT uom, row_number() OVER (ORDER BY n DESC, uom) - 1 AS priority
   FROM (SELECT uom, count(*) AS n FROM facts WHERE regexp_matches(uom, '^[A-Z]{3}$') GROUP BY 1))"""
@@ -51,7 +51,7 @@ def deduped(t: Tables) -> DataFrame:
 
 def rates(t: Tables) -> DataFrame:
     wide = (facts(t).withColumn("YearMonth", F.floor(F.col("ddate") / 100).cast("int"))
-            .groupBy("YearMonth").pivot("uom", CURRENCIES).agg(F.round(F.avg("l_tax") + 0.5, 4)))
+            .groupBy("YearMonth").pivot("uom", CURRENCIES).agg(F.avg("l_tax") + 0.5))
     return joins.unpivot_rates(wide)
 
 
@@ -123,9 +123,9 @@ def fx_convert(t):
         "report", "tag", "uom", "ddate", "qtrs", "l_suppkey", "value", "value_usd")
 
 
-@query(f"WITH {FACTS}, {RATES} SELECT month, uom AS currency, rate FROM rates")
+@query(f"WITH {FACTS}, {RATES} SELECT month, uom AS currency, round(rate, 12) AS rate FROM rates")
 def fx_rates_long(t):
-    return rates(t)
+    return round_columns(rates(t), ["rate"], 12)
 
 
 PIVOT = {f"{f}{s}": (f, s) for f in "ANR" for s in "FO"}
@@ -253,14 +253,14 @@ def case_and_sign(t):
                     to_signed((F.col("c_acctbal") >= 0).cast("int")).alias("signed"))
 
 
-@query("""SELECT p_type AS item, p_brand, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_value
+@query("""SELECT p_type AS item, p_brand, count(*) AS n, round(sum(l_extendedprice), 2) AS total_value
 FROM lineitem JOIN (SELECT p_partkey, p_type, p_brand FROM part) ON l_partkey = p_partkey GROUP BY 1, 2""")
 def map_to_groups(t):
     mapping = t.part.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("item_mapped"))
     brands = t.part.select("p_partkey", "p_brand")
     mapped = joins.map_items(t.lineitem.withColumn("item", F.col("l_partkey")), mapping)
     return (mapped.join(brands, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy("item", "p_brand").agg(F.count("*").alias("n"), rounded(F.avg("l_extendedprice"), 4).alias("mean_value")))
+            .groupBy("item", "p_brand").agg(F.count("*").alias("n"), rounded(F.sum("l_extendedprice"), 2).alias("total_value")))
 
 
 @query("""SELECT o_orderkey, o_custkey, c_mktsegment, c_nationkey, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
