@@ -56,7 +56,7 @@ def decode_levels(df: DataFrame, levels: DataFrame, cols) -> DataFrame:
     """Replace codes by their levels."""
     for c in cols:
         lookup = levels.where(F.col("column") == c).select(F.col("level").alias("_level"), F.col("code").alias("_code"))
-        df = (df.join(lookup, F.col(c).cast("int") == F.col("_code"), "left")
+        df = (df.join(lookup, F.col(c).cast("bigint") == F.col("_code"), "left")
               .withColumn(c, F.col("_level")).drop("_level", "_code"))
     return df
 

@@ -18,11 +18,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.keys import hash60
 from ..session import cut_lineage
 
-BUCKETS = 256
-HOT_ROWS = 1_000_000
+MIN_BUCKETS, MAX_BUCKETS = 256, 8192
+HOT_ROWS = 4_000_000
 CHUNK_ROWS = 250_000
 
 
+def bucket_count(df: DataFrame, wanted: int | None = None) -> int:
+    """Value buckets to use: a power of two near the number of shuffle partitions, within limits."""
+    if wanted is not None:
+        return wanted
+    partitions, n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_BUCKETS
+    while n < min(partitions, MAX_BUCKETS):
+        n *= 2
+    return n
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi join on same-named columns where NULL matches NULL; the key columns come from the left."""
     if not on:
@@ -54,12 +64,12 @@ def _with_bucket(df: DataFrame, value: str, base: DataFrame, col: str, buckets:
     return marked.drop("_cuts")
 
 
-def value_positions(df: DataFrame, col: str, by=(), buckets: int = BUCKETS) -> DataFrame:
+def value_positions(df: DataFrame, col: str, by=(), buckets: int | None = None) -> DataFrame:
     """Distinct non-NULL values with ``n`` (copies), ``before`` (rows below) and ``total``, per group.
 
     Columns: the group columns, ``value``, ``n``, ``before``, ``total``.
     """
-    by = list(by)
+    by, buckets = list(by), bucket_count(df, buckets)
     # count(col) is 0 for the NULL value, so a computed column is not evaluated again by a pushed-down filter
     counts = df.groupBy(*by, F.col(col).alias("value")).agg(F.count(col).alias("n")).where("n > 0")
     counts = _with_bucket(counts, "value", df, col, buckets)
@@ -74,7 +84,7 @@ def value_positions(df: DataFrame, col: str, by=(), buckets: int = BUCKETS) -> D
             .select(*by, "value", "n", (F.col("_offset") + F.col("_upto") - F.col("n")).alias("before"), "total"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], by=(), buckets: int = BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], by=(), buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs`` (name -> share)."""
     by = list(by)
     pos = value_positions(df, col, by, buckets)
@@ -91,7 +101,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], by=(), buc
     return pos.groupBy(*by).agg(*aggs).select(*by, *out)
 
 
-def average_rank(df: DataFrame, col: str, out: str = "rank", by=(), buckets: int = BUCKETS) -> DataFrame:
+def average_rank(df: DataFrame, col: str, out: str = "rank", by=(), buckets: int | None = None) -> DataFrame:
     """Attach the 1-based rank of ``col``; tied rows share the mean of their ranks. NULL has no rank."""
     by = list(by)
     ranks = value_positions(df, col, by, buckets).select(
@@ -99,7 +109,7 @@ def average_rank(df: DataFrame, col: str, out: str = "rank", by=(), buckets: int
     return join_null_safe(df, ranks, [*by, col], "left")
 
 
-def cumulative_share(df: DataFrame, col: str, by=(), buckets: int = BUCKETS) -> DataFrame:
+def cumulative_share(df: DataFrame, col: str, by=(), buckets: int | None = None) -> DataFrame:
     """Empirical distribution: per distinct value the share of rows below and the share up to it."""
     pos = value_positions(df, col, by, buckets)
     return pos.select(*by, "value", "n", "total",
@@ -108,12 +118,12 @@ def cumulative_share(df: DataFrame, col: str, by=(), buckets: int = BUCKETS) ->
 
 
 def hash_rank(df: DataFrame, key, seed: int = 0, by=(), out: str = "rank", total: str = "total",
-              buckets: int = BUCKETS) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """Attach the 1-based rank in a repeatable random order and the group's row count.
 
     ``key`` names the column(s) that identify a row.
     """
-    by, keys = list(by), [key] if isinstance(key, str) else list(key)
+    by, keys, buckets = list(by), [key] if isinstance(key, str) else list(key), bucket_count(df, buckets)
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if len(keys) > 1 else F.col(keys[0])
     hashed = df.withColumn("_h", hash60(text, seed)).withColumn("_b", F.expr(f"_h div {(1 << 60) // buckets}"))
     per_bucket = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_m"))
@@ -172,27 +182,28 @@ def entity_windows(df: DataFrame, by, order, columns=None, seq: str | None = Non
         w = Window.partitionBy(*by).orderBy(*order)
         out = {name: fn(w) for name, fn in columns.items()}
         if seq:
-            out[seq] = F.row_number().over(w)
+            out[seq] = F.row_number().over(w).cast("bigint")
         return part.withColumns(out)
 
     hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*by)
     if hot.isEmpty():
         return plain(df)
+    hot = cut_lineage(hot)  # at most table rows / hot_rows entities, read twice below
     cold_part = plain(join_null_safe(df, hot, by, "left_anti"))
     placed = with_position(join_null_safe(df, hot, by, "left_semi"), [*by, *order], "_pos")
-    # at most table rows / hot_rows entities
     starts = placed.groupBy(*by).agg(F.min("_pos").alias("_start"))
     place = join_null_safe(placed, starts, by).withColumn("_seq", F.col("_pos") - F.col("_start") + 1)
     home = F.expr(f"(_seq - 1) div {chunk_rows}")
     inside = F.col("_seq") - 1 - home * chunk_rows
-    copies = F.array(
-        home,
-        F.when((inside < after) & (home > 0), home - 1),
-        F.when(inside >= chunk_rows - before, home + 1))
-    chunks = (place.withColumn("_home", home)
-              .withColumn("_chunk", F.explode(F.array_compact(copies))))
+    # most rows belong to their own chunk only; rows near an edge are neighbours of the next one as well
+    place = place.withColumn("_home", home)
+    earlier = place.where((inside < after) & (F.col("_home") > 0)).withColumn("_chunk", F.col("_home") - 1)
+    later = place.where(inside >= chunk_rows - before).withColumn("_chunk", F.col("_home") + 1)
+    chunks = place.withColumn("_chunk", F.col("_home"))
+    for edge, needed in ((earlier, after), (later, before)):
+        chunks = chunks.unionByName(edge) if needed else chunks
     w = Window.partitionBy(*by, "_chunk").orderBy("_seq")
     hot_part = chunks.withColumns({name: fn(w) for name, fn in columns.items()}).where("_chunk = _home")
     if seq:
-        hot_part = hot_part.withColumn(seq, F.col("_seq").cast("int"))
+        hot_part = hot_part.withColumn(seq, F.col("_seq"))
     return cold_part.unionByName(hot_part.drop("_pos", "_start", "_seq", "_home", "_chunk"))

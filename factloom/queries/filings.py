@@ -353,14 +353,14 @@ def minmax_inverse(t):
     return round_columns(back, ["p_retailprice"], 4).select("p_partkey", "p_retailprice")
 
 
-@query("""SELECT 'o_orderpriority' AS "column", o_orderpriority AS level, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS code
+@query("""SELECT 'o_orderpriority' AS "column", o_orderpriority AS level, dense_rank() OVER (ORDER BY o_orderpriority) AS code
 FROM (SELECT DISTINCT o_orderpriority FROM orders) UNION ALL
-SELECT 'o_orderstatus', o_orderstatus, CAST(dense_rank() OVER (ORDER BY o_orderstatus) AS INTEGER) FROM (SELECT DISTINCT o_orderstatus FROM orders)""")
+SELECT 'o_orderstatus', o_orderstatus, dense_rank() OVER (ORDER BY o_orderstatus) FROM (SELECT DISTINCT o_orderstatus FROM orders)""")
 def factor_levels(t):
     return encode.fit_levels(t.orders, ["o_orderpriority", "o_orderstatus"])
 
 
-@query("""SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS o_orderpriority FROM orders""")
+@query("""SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) AS o_orderpriority FROM orders""")
 def factor_codes(t):
     levels = encode.fit_levels(t.orders, ["o_orderpriority"])
     return encode.encode_levels(t.orders.select("o_orderkey", "o_orderpriority"), levels, ["o_orderpriority"])

@@ -233,7 +233,7 @@ def yeo_johnson_values(t):
     return t.customer.select("c_custkey", rounded(tests.yeo_johnson(F.col("c_acctbal") / 1000, 0.5)).alias("y"))
 
 
-@query("SELECT label, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS code, count(*) AS n FROM embeddings GROUP BY label")
+@query("SELECT label, dense_rank() OVER (ORDER BY label) AS code, count(*) AS n FROM embeddings GROUP BY label")
 def level_codes(t):
     coded = t.embeddings.withColumn("code", F.col("label"))
     counts = coded.groupBy("label", "code").agg(F.count("*").alias("n"))

@@ -15,9 +15,9 @@ i AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN back = 0 THEN ahead E
 RUNS = GAPS + """, n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
   - row_number() OVER (PARTITION BY o_custkey, interval_months ORDER BY o_orderdate, o_orderkey) AS island FROM i),
 r AS (SELECT o_custkey, o_orderkey, o_orderdate, interval_months,
-  CAST(row_number() OVER (PARTITION BY o_custkey, interval_months, island ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS run FROM n)"""
+  row_number() OVER (PARTITION BY o_custkey, interval_months, island ORDER BY o_orderdate, o_orderkey) AS run FROM n)"""
 WINDOWS = """s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice,
-  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS sequence FROM orders),
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence FROM orders),
 w AS (SELECT a.o_custkey, a.sequence AS sequence_grp, CAST(b.sequence - a.sequence + 1 AS INTEGER) AS step, b.o_orderkey, b.o_totalprice
   FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND b.sequence BETWEEN a.sequence AND a.sequence + 3
   WHERE a.sequence + 3 <= (SELECT max(sequence) FROM s c WHERE c.o_custkey = a.o_custkey))"""
@@ -36,7 +36,7 @@ def _windows(t):
     return seq.sliding_sequences(t.orders, KEY, ORDER, ["o_orderkey", "o_totalprice"], 4)
 
 
-@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS sequence FROM orders""")
+@query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence FROM orders""")
 def entity_sequence(t):
     return seq.with_entity_sequence(t.orders, KEY, ORDER).select("o_custkey", "o_orderkey", "sequence")
 
@@ -66,8 +66,8 @@ def runs(t):
     return _runs(t).select("o_custkey", "o_orderkey", "interval_months", "run")
 
 
-@query(f"""WITH {GAPS} SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey, interval_months
-ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS run FROM i""")
+@query(f"""WITH {GAPS} SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey, interval_months
+ORDER BY o_orderdate, o_orderkey) AS run FROM i""")
 def runs_without_breaks(t):
     return seq.with_run_number(_intervals(t), KEY, "interval_months", ORDER, islands=False).select("o_custkey", "o_orderkey", "run")
 
@@ -136,7 +136,7 @@ def sequence_tensor(t):
     return seq.from_sequences(tensors, ["o_custkey", "sequence_grp"], ["o_totalprice", "o_orderkey"])
 
 
-@query("""SELECT o_custkey, o_orderkey, CAST(a AS INTEGER) AS place_a, CAST(b AS INTEGER) AS place_b, a = b AS agrees FROM (
+@query("""SELECT o_custkey, o_orderkey, a AS place_a, b AS place_b, a = b AS agrees FROM (
 SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a,
 row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS b FROM orders)""")
 def order_agreement(t):
