@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import exact, shards
+from . import exact, mixing, shards
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +19,9 @@ SHARD_BYTES = 1 << 20
 def register(sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(configure(spark), folder)
+            configure(spark)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts can be long
+            return fn(spark, folder)
         QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql
@@ -51,3 +53,9 @@ SELECT doc_id, bytes, (1::BIGINT << depth) + prefix AS shard, depth::INTEGER AS
 FROM a WHERE rn = 1""")
 def op6_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.extendible_shards(documents(spark, folder), SHARD_BYTES)
+
+
+@register()
+def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    rows, spans = mixing.source_mix(documents(spark, folder))
+    return mixing.taken_words(rows, spans).select("doc_id", "size", F.col("source_size"), "target", "taken")
