@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import exact, mixing, shards
+from . import exact, mixing, packing, shards, tokens
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def register(sql: str | None = None):
     return add
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -59,3 +64,8 @@ def op6_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     rows, spans = mixing.source_mix(documents(spark, folder))
     return mixing.taken_words(rows, spans).select("doc_id", "size", F.col("source_size"), "target", "taken")
+
+
+@register()
+def op8_grouping_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_pieces(tokens.token_pieces(documents(spark, folder), tokenizer_path()))
