@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import exact, mixing, packing, shards, tokens
+from . import exact, mixing, neardup, packing, shards, tokens, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,19 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op8_grouping_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_pieces(tokens.token_pieces(documents(spark, folder), tokenizer_path()))
+
+
+def _crc(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@register()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scores = toxicity.toxicity_scores(documents(spark, folder), labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return scores.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@register()
+def op3_probminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_classes(documents(spark, folder))
