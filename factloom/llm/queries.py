@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import exact, mixing, neardup, packing, shards, tokens, toxicity
+from . import exact, language, mixing, neardup, packing, shards, tokens, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,10 +78,16 @@ def _crc(modulus: int):
 @register()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    scores = toxicity.toxicity_scores(documents(spark, folder), labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    scores = toxicity.toxicity_scores(documents(spark, folder), labels, _crc(5) != 0)
     return scores.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
 
 
 @register()
 def op3_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_classes(documents(spark, folder))
+
+
+@register()
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.languages(documents(spark, folder), _crc(4) != 2)
+    return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
