@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import exact, language, mixing, neardup, packing, shards, tokens, toxicity
+from . import exact, language, mixing, neardup, packing, quality, shards, tokens, toxicity
 from .common import documents
+from .quality_sql import quality_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +92,8 @@ def op3_probminhash(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     found = language.languages(documents(spark, folder), _crc(4) != 2)
     return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register(quality_sql())
+def op2_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(documents(spark, folder))
