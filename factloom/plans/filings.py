@@ -8,7 +8,6 @@ from ..features.encode import apply_cat
 from ..features.scale import log_standardise
 from ..features.split import split_by_group
 from ..functions.amounts import case_map, is_currency, unit_method
-from ..functions.dates import year_month
 from ..functions.keys import make_key, split_prefix
 from ..operators.dedupe import ambiguous_groups, dedupe_by_priority, priority_from_counts, with_priority
 from ..operators.filters import complete_rows, convertible, exclude_containing, filter_period
@@ -28,14 +27,13 @@ def join_submissions(facts: DataFrame, submissions: DataFrame) -> DataFrame:
 
 
 def dedupe_facts(facts: DataFrame, skip: int = 0) -> DataFrame:
-    """One fact per (report, tag): the most common currency first, then the preferred standard."""
+    """One fact per (report, tag): the most common currency first, then the preferred standard, then the smallest values."""
     priorities = priority_from_counts(facts, "uom", is_currency("uom"), skip)
     base = (with_priority(facts, priorities, "uom", "uom_seq")
-            .withColumn("version", F.coalesce(split_prefix("version", "/")[0], F.col("version"))))
-    tie = ["uom", "version", "ddate", "qtrs", "value"]
-    by_unit = dedupe_by_priority(base, ["report_ref", "tag"], "uom_seq", tie)
-    standard = by_unit.withColumn("version_seq", case_map("version", STANDARDS, len(STANDARDS) + 1))
-    return dedupe_by_priority(standard, ["report_ref", "tag"], "version_seq", tie).drop("uom_seq", "version_seq")
+            .withColumn("version", F.coalesce(split_prefix("version", "/")[0], F.col("version")))
+            .withColumn("version_seq", case_map("version", STANDARDS, len(STANDARDS) + 1)))
+    tie = ["version_seq", "uom", "version", "ddate", "qtrs", "value"]
+    return dedupe_by_priority(base, ["report_ref", "tag"], "uom_seq", tie).drop("uom_seq", "version_seq")
 
 
 def popular_tags(facts: DataFrame, n: int = 200) -> DataFrame:
@@ -58,5 +56,3 @@ def encode_filings(wide: DataFrame, cols, entity: str, shares=(0.7, 0.15, 0.15),
     scaled, params = log_standardise(signed, cols)
     return split_by_group(scaled, entity, shares, seed), params
 
-
-__all__ = ["STANDARDS", "join_submissions", "dedupe_facts", "popular_tags", "wide_filings", "encode_filings", "year_month"]

@@ -31,7 +31,8 @@ UNIT_SEQ = """unit_seq AS (SELECT uom, row_number() OVER (ORDER BY n DESC, uom)
 DEDUPED = f"""{FACTS}, {UNIT_SEQ}, ranked AS (SELECT f.*, coalesce(u.priority, (SELECT count(*) FROM unit_seq)) AS uom_seq,
   split_part(version, '/', 1) AS standard FROM facts f LEFT JOIN unit_seq u USING (uom)),
   by_unit AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY report, tag
-    ORDER BY uom_seq, uom, standard, ddate, qtrs, value) = 1),
+    ORDER BY uom_seq, CASE standard WHEN 'us-gaap' THEN 1 WHEN 'ifrs' THEN 2 WHEN 'dei' THEN 3 ELSE 4 END,
+             uom, standard, ddate, qtrs, value) = 1),
   deduped AS (SELECT report, tag, uom, standard AS version, ddate, qtrs, value FROM by_unit)"""
 
 

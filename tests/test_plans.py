@@ -3,6 +3,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions.amounts import parse_amount
+from factloom.functions.markup import elements, nested_elements, plain_text
+from factloom.operators import dedupe
 from factloom.plans import documents, filings, ledger, text
 
 
@@ -67,14 +70,21 @@ def test_filings(spark):
     assert {r.report_ref for r in joined.collect()} == {"11_nan_20180331_0", "22_sub_20180630_0", "33_nan_19981231_0", "nan_nan_20180331_0"}
     one = filings.dedupe_facts(joined)
     kept = {(r.report_ref, r.tag): (r.uom, r.version, r.value) for r in one.collect()}
-    assert kept["22_sub_20180630_0", "Cash"] == ("EUR", "dei", 5.0)  # equal units: ordered by standard name, then value
+    assert kept["22_sub_20180630_0", "Cash"] == ("EUR", "ifrs", 4.0)  # equal units: the preferred standard
     assert len(kept) == 6
+    many = spark.createDataFrame([(f"{chr(65 + i // 26)}{chr(65 + i % 26)}X",) for i in range(60) for _ in range(60 - i)], "uom string")
+    ranks = {r.uom: r.priority for r in dedupe.priority_from_counts(many, "uom").collect()}
+    assert [ranks[f"{chr(65 + i // 26)}{chr(65 + i % 26)}X"] for i in range(60)] == list(range(60))  # all values are ranked
+    first = filings.dedupe_facts(spark.createDataFrame(
+        [("r", "T", "dei/2014", 1, 0, "USD", 1.0), ("r", "T", "us-gaap/2018", 2, 0, "USD", 2.0)],
+        "report_ref string, tag string, version string, ddate int, qtrs int, uom string, value double")).first()
+    assert (first.version, first.value) == ("us-gaap", 2.0)
     tags = [r.tag for r in filings.popular_tags(one, 5).collect()]
     assert tags == ["Cash", "Debt"]
     rates = spark.createDataFrame([(201803, "EUR", 2.0), (201806, "EUR", 4.0)], "month int, currency string, rate double")
     wide = {r.report_ref: r for r in filings.wide_filings(one, rates, ["Cash", "Debt"], ["EUR"]).collect()}
     assert set(wide) == {"11_nan_20180331_0", "22_sub_20180630_0"}  # no sic, or too old: left out
-    assert wide["22_sub_20180630_0"].Cash == 1.25 and wide["22_sub_20180630_0"].Debt is None
+    assert wide["22_sub_20180630_0"].Cash == 1.0 and wide["22_sub_20180630_0"].Debt is None
     a = wide["11_nan_20180331_0"]
     assert a.Debt == 3.0
 
@@ -140,3 +150,33 @@ def test_crop_and_positions(spark):
     df = spark.createDataFrame([(i, list(range(i))) for i in range(1, 21)], "id int, t array<int>")
     assert sorted(r.id for r in text.crop_by_length(df, "t", 10, 0.9).collect()) == list(range(10, 19))
     assert text.with_searchwords(df, "t", [15, 0]).where("size(positions) = 2").count() == 5
+
+
+def test_character_references(spark):
+    cases = {"&#163;1,234": "£1,234", "&#xA3;1,234": "£1,234", "a&amp;nbsp;b": "a&nbsp;b", "&amp;#163;": "&#163;", "x&unknown;y": "xy",
+             "&#8364; &euro;": "€ €", "&#1114112;&#xD800;z": "z", "&#x1F600;": "\U0001F600", "plain <b>text</b>": "plain text", "": ""}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", plain_text("t").alias("p")).collect()
+    assert {r.t: r.p for r in rows} == cases
+    amounts = spark.createDataFrame([("&#163;1,234",), ("&#xA3;1,234",)], "t string").select(
+        parse_amount(plain_text("t"), F.lit("0"), F.lit(None).cast("string")).alias("v")).collect()
+    assert [r.v for r in amounts] == [1234.0, 1234.0]
+
+
+def test_nested_elements(spark):
+    html = '<x id="1">a<X id="2">b<x id="3">c</x></x>d</x><x id="4"/><x id="5">e < f</x><x id="6">open'
+    got = spark.createDataFrame([(html,), ("none",)], "h string").select(nested_elements("h", "x").alias("e")).collect()
+    assert sorted((e.attrs, e.inner) for e in got[0].e)[:5] == [
+        ('<X id="2"', "bc"), ('<x id="1"', "abcd"), ('<x id="3"', "c"), ('<x id="4"/', ""), ('<x id="5"', "e < f")]
+    assert got[1].e == []
+
+
+def test_hidden_and_nested_facts(spark):
+    def fact(name, text):
+        return f'<ix:nonFraction name="uk:{name}" contextRef="c" unitRef="u" scale="0">{text}</ix:nonFraction>'
+    html = (f"<!-- {fact('Hidden', '1')} --><script>{fact('Scripted', '2')}</script>" + fact("Outer", "4" + fact("Inner", "&#163;2"))
+            + '<xbrli:unit id="u"><xbrli:measure>iso4217:GBP</xbrli:measure></xbrli:unit>'
+            + '<xbrli:unit id="u"><xbrli:measure>second</xbrli:measure></xbrli:unit>'
+            + '<xbrli:context id="c"><xbrli:period><xbrli:instant>2018-01-31</xbrli:instant></xbrli:period></xbrli:context>')
+    docs = spark.createDataFrame([("C1", "20180131", html)], "crn string, report_date string, html string")
+    got = {r.item: (r.value, r.units_measure) for r in documents.extract_facts(docs).collect()}
+    assert got == {"Outer": (42.0, "iso4217:GBP"), "Inner": (2.0, "iso4217:GBP")}
