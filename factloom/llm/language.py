@@ -57,31 +57,47 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 150, rate: float = 4.0, decay: float = 1e-4):
-    """Weights of a softmax regression (last row: offsets) by gradient steps with momentum."""
-    x = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
-    w, speed = np.zeros((x.shape[1], classes), dtype=np.float32), 0.0
+def _centred(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean = x.mean(axis=0)
+    return np.concatenate([x - mean, np.ones((len(x), 1), dtype=x.dtype)], axis=1), mean
+
+
+def _plain(w: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Weights for centred vectors (offset last) as weights for the vectors themselves."""
+    return np.concatenate([w[:-1], w[-1:] - mean @ w[:-1]])
+
+
+def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 150, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a softmax regression (last row: offsets) by gradient steps with momentum; classes weigh the same."""
+    x, mean = _centred(x)
     goal = np.eye(classes, dtype=np.float32)[y] / np.bincount(y, minlength=classes)[y][:, None] / classes
     share = goal.sum(axis=1, keepdims=True)
+    v = np.ones(x.shape[1], dtype=np.float32)
+    for _ in range(8):  # the steepest direction bounds the step
+        v = x.T @ (share[:, 0] * (x @ v))
+        steepest = np.linalg.norm(v)
+        v /= max(steepest, 1e-9)
+    rate = 1 / (0.5 * steepest + decay)
+    w, speed = np.zeros((x.shape[1], classes), dtype=np.float32), 0.0
     for _ in range(steps):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         speed = 0.9 * speed - rate * (x.T @ (p * share - goal) + decay * w)
         w = w + speed
-    return w
+    return _plain(w, mean)
 
 
 def svm_fit(x: np.ndarray, sign: np.ndarray, steps: int = 200, cost: float = 100.0) -> np.ndarray:
     """Linear support vector machine (last entry: offset): averaged subgradient steps on the regularised hinge loss."""
-    x = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
+    x, centre = _centred(x)
     weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)).astype(np.float32)
-    w, mean = np.zeros(x.shape[1], dtype=np.float32), np.zeros(x.shape[1], dtype=np.float32)
+    w, total = np.zeros(x.shape[1], dtype=np.float32), np.zeros(x.shape[1], dtype=np.float32)
     for t in range(1, steps + 1):
         inside = sign * (x @ w) < 1
-        w = w - (1 / (t + 10)) * (w - cost * (x[inside].T @ (sign * weight)[inside]))
-        mean += w if 2 * t > steps else 0
-    return mean / (steps - steps // 2)
+        w = w - (1 / (t + 10)) * (w - cost * ((sign * weight * inside) @ x))
+        total += w if 2 * t > steps else 0
+    return _plain(total / (steps - steps // 2), centre)
 
 
 class Model:
