@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import exact, language, mixing, neardup, packing, quality, shards, tokens, toxicity
+from . import exact, language, linededup, mixing, neardup, packing, pseudonyms, quality, shards, tokens, toxicity
 from .common import documents
 from .quality_sql import quality_sql
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 SHARD_BYTES = 1 << 20
+PSEUDONYM_KEY = b"a key for tests only"  # a user passes a secret one
 
 
 def register(sql: str | None = None):
@@ -79,7 +80,7 @@ def _crc(modulus: int):
 @register()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    scores = toxicity.toxicity_scores(documents(spark, folder), labels, _crc(5) != 0)
+    scores = toxicity.toxicity_scores(documents(spark, folder), labels, _crc(5) != 0, keep=["doc_id"])
     return scores.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -97,3 +98,13 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
 @register(quality_sql())
 def op2_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(documents(spark, folder))
+
+
+@register()
+def op7_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonyms.pseudonymised(documents(spark, folder), PSEUDONYM_KEY).select("doc_id", "text", "n_values")
+
+
+@register()
+def op9_winnowed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.line_report(documents(spark, folder))
