@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .words import BLANKS, chunks, mixed, word_hashes
@@ -18,7 +18,10 @@ class Texts:
     """Distinct words of some texts with their character n-grams, and the words of each text as numbers of them."""
 
     def __init__(self, texts: list[str | None]):
-        hashes, self.bounds = word_hashes(texts)
+        sizes = [0 if t is None else len(t) for t in texts]
+        parts = [word_hashes(texts[a:b]) for a, b in chunks(sizes, 1 << 20)] or [word_hashes([])]
+        hashes = np.concatenate([h for h, _ in parts])
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
         distinct, first, self.words = np.unique(hashes, return_index=True, return_inverse=True)
         self.n = len(distinct)
         self.word_rows = (distinct >> np.uint64(7)).astype(np.int64) % WORD_ROWS
@@ -33,16 +36,16 @@ class Texts:
         rows, owners = [], []
         for n in GRAMS:
             count = np.maximum(size + 3 - n, 1)
-            owner = np.repeat(np.arange(self.n), count)
+            owner = np.repeat(np.arange(self.n, dtype=np.int32), count)
             at = np.repeat(start - 1 - np.concatenate([[0], np.cumsum(count)[:-1]]) if self.n else start, count) + np.arange(count.sum())
             code = np.full(len(at), n, dtype=np.uint64)
             for k in range(n):
                 code = code * np.uint64(257) + low[np.minimum(at + k, len(low) - 1)]
-            rows.append((mixed(code) >> np.uint64(9)).astype(np.int64) % CHAR_ROWS)
+            rows.append(((mixed(code) >> np.uint64(9)) % np.uint64(CHAR_ROWS)).astype(np.int32))
             owners.append(owner)
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        self.gram_rows, self.gram_owner = np.concatenate(rows)[order], owner[order]
+        self.gram_rows = np.concatenate(rows)[order]
         self.gram_count = np.bincount(owner, minlength=self.n)
 
     def vectors(self, model: dict, which: np.ndarray | None = None) -> np.ndarray:
@@ -175,27 +178,19 @@ def window_logits(model, texts: Texts, first, end, batch: int = 2048) -> np.ndar
 
 def _start_vectors(model, texts: Texts, labels: np.ndarray) -> np.ndarray:
     """Set one component of the vectors to log-odds of words and n-grams; gives each word's evidence."""
-    sizes = np.diff(texts.bounds)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    pairs = np.unique(owner * np.int64(texts.n) + texts.words)
-    doc, word = np.divmod(pairs, max(texts.n, 1))
-
-    def log_odds(rows, size):
-        seen = np.unique(rows)
-        positive = labels[seen // size] > 0
-        p = np.bincount(seen[positive] % size, minlength=size)
-        n = np.bincount(seen[~positive] % size, minlength=size)
-        np_, nn = max(labels.sum(), 1), max((1 - labels).sum(), 1)
-        odds = np.log((p + 0.5) / (np_ + 1)) - np.log((n + 0.5) / (nn + 1))
-        return np.clip(odds * (p + n) / (p + n + 2), -2, 4).astype(np.float32)
-
-    words = log_odds(doc * WORD_ROWS + texts.word_rows[word], WORD_ROWS)
     start = np.concatenate([[0], np.cumsum(texts.gram_count)])
-    grams = np.concatenate([texts.gram_rows[start[w]:start[w + 1]] for w in word]) if len(word) else np.zeros(0, dtype=np.int64)
-    docs_of = np.repeat(doc, texts.gram_count[word])
-    chars = log_odds(docs_of * CHAR_ROWS + grams, CHAR_ROWS)
-    model["word"][:, 0], model["char"][:, 0] = words, chars
-    return words[texts.word_rows] + np.maximum.reduceat(chars[texts.gram_rows], start[:-1])
+    seen = {k: np.zeros((2, size)) for k, size in (("word", WORD_ROWS), ("char", CHAR_ROWS))}
+    for i, y in enumerate(labels.astype(int)):
+        used = np.unique(texts.words[texts.bounds[i]:texts.bounds[i + 1]])
+        count = texts.gram_count[used]
+        at = np.repeat(start[used] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        seen["word"][y][np.unique(texts.word_rows[used])] += 1
+        seen["char"][y][np.unique(texts.gram_rows[at])] += 1
+    texts_of = np.maximum([(labels == 0).sum(), (labels == 1).sum()], 1)
+    for k, (n, p) in seen.items():
+        odds = np.log((p + 0.5) / (texts_of[1] + 1)) - np.log((n + 0.5) / (texts_of[0] + 1))
+        model[k][:, 0] = np.clip(odds * (p + n) / (p + n + 2), -2, 4)
+    return model["word"][texts.word_rows, 0] + np.maximum.reduceat(model["char"][texts.gram_rows, 0], start[:-1])
 
 
 def train(bodies: list[str], labels, weights=(1.0, 1.0), epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 3) -> dict:
@@ -312,8 +307,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn, i
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, may_learn, id_col: str = "doc_id", text: str = "text",
-                    label: str = "toxic", most: int = 1200, columns=()) -> DataFrame:
-    """id_col, score (0 to 1), predicted (1 from 0.5 on) and ``columns`` of every row of ``docs``.
+                    label: str = "toxic", most: int = 1000, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, all by default) with score (0 to 1) and predicted (1 from 0.5 on).
 
     The model is fitted on the driver on a sample of ``labels`` rows for which ``may_learn`` holds: ``most`` (about)
     texts of each label, fewer where there are fewer. Every text is scored whole, by all its windows of 32 words that
@@ -323,15 +318,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, may_learn, id_col: str =
     sample, weights = labelled_sample(docs, labels, label, may_learn, id_col, text, most)
     model = train([t for t, _ in sample], [y for _, y in sample], weights)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    keep = docs.columns if keep is None else keep
+    rows = docs.select(F.col(text).alias("t"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("s"))
 
     def run(batches):
         for batch in batches:
-            score = text_scores(held.value, batch["_text"].tolist())
-            yield pd.DataFrame({**{c: batch[c] for c in batch.columns if c != "_text"}, "score": score,
-                                "predicted": (score >= 0.5).astype(np.int32)})
-
-    names = [id_col, *columns]
-    rows = docs.select(*[F.col(c).cast("string").alias(f"_{k}") for k, c in enumerate(names)], F.col(text).alias("_text"))
-    schema = ", ".join(f"_{k} string" for k in range(len(names))) + ", score double, predicted int"
-    scored = rows.mapInPandas(run, schema)
-    return scored.select(*[F.col(f"_{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(names)], "score", "predicted")
+            score = text_scores(held.value, batch.column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
+                                             names=["s", "score", "predicted"])
+
+    scored = rows.mapInArrow(run, f"s {rows.schema['s'].dataType.simpleString()}, score double, predicted int")
+    return scored.select(*[F.col(f"s.c{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
