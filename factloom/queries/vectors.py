@@ -122,13 +122,16 @@ def _state(t):
         "code", "ema_count", F.transform("code_vec", lambda x: x * F.col("ema_count")).alias("ema_sum"), "code_vec")
 
 
-@query(f"""WITH {CENTRES}, d AS (SELECT vec_id, code, list_distance({D}, c) AS d FROM embeddings, centre),
+CODEBOOK_SQL = f"""WITH {CENTRES}, d AS (SELECT vec_id, code, list_distance({D}, c) AS d FROM embeddings, centre),
 a AS (SELECT vec_id, code FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code) = 1),
 n AS (SELECT label AS code, count(*) AS n FROM embeddings GROUP BY 1), bn AS (SELECT code, count(*) AS n FROM a GROUP BY 1),
 bs AS (SELECT code, i, sum(x) AS s FROM a JOIN long USING (vec_id) GROUP BY 1, 2)
 SELECT n.code, CAST(i - 1 AS INTEGER) AS pos, round(0.9::DOUBLE * n.n + 0.1::DOUBLE * coalesce(bn.n, 0), 6) AS ema_count,
 round((0.9::DOUBLE * c[i] * n.n + 0.1::DOUBLE * coalesce(s, 0)) / (0.9::DOUBLE * n.n + 0.1::DOUBLE * coalesce(bn.n, 0) + 1e-5), 5) AS x
-FROM n JOIN centre ON centre.code = n.code JOIN range(1, 65) r(i) ON true LEFT JOIN bn ON bn.code = n.code LEFT JOIN bs ON bs.code = n.code AND bs.i = r.i""".replace("c[i]", "c[r.i]").replace("CAST(i - 1", "CAST(r.i - 1"))
+FROM n JOIN centre ON centre.code = n.code JOIN range(1, 65) r(i) ON true LEFT JOIN bn ON bn.code = n.code LEFT JOIN bs ON bs.code = n.code AND bs.i = r.i""".replace("c[i]", "c[r.i]").replace("CAST(i - 1", "CAST(r.i - 1")
+
+
+@query(CODEBOOK_SQL)
 def codebook_update(t):
     """Decayed update of a codebook that starts as the label means."""
     state = _state(t)
@@ -150,12 +153,15 @@ xx AS (SELECT a.batch, avg(exp(-pow(list_distance(a.v, b.v), 2) / 4096)) AS k FR
 yy AS (SELECT a.batch, avg(exp(-pow(list_distance(a.v, b.v), 2) / 4096)) AS k FROM y a JOIN y b ON a.batch = b.batch GROUP BY 1),
 xy AS (SELECT a.batch, avg(exp(-pow(list_distance(a.v, b.v), 2) / 4096)) AS k FROM x a JOIN y b ON a.batch = b.batch GROUP BY 1)
 SELECT xx.batch, (SELECT count(*) FROM x WHERE x.batch = xx.batch) AS n_a, (SELECT count(*) FROM y WHERE y.batch = xx.batch) AS n_b,
-round((xx.k + yy.k - 2 * xy.k) * 1000, 5) AS mmd FROM xx JOIN yy ON xx.batch = yy.batch JOIN xy ON xy.batch = xx.batch""")
+round((xx.k + yy.k - 2 * xy.k) * 1000, 5) AS mmd,
+round(sum((xx.k + yy.k - 2 * xy.k) * 1000 * (SELECT count(*) FROM x WHERE x.batch = xx.batch) * (SELECT count(*) FROM y WHERE y.batch = xx.batch)) OVER ()
+  / sum((SELECT count(*) FROM x WHERE x.batch = xx.batch) * (SELECT count(*) FROM y WHERE y.batch = xx.batch)) OVER (), 5) AS pooled
+FROM xx JOIN yy ON xx.batch = yy.batch JOIN xy ON xy.batch = xx.batch""")
 def mean_discrepancy(t):
     """Kernel discrepancy between two halves of the labels, per random batch (times 1000)."""
     e = t.embeddings
     out = vs.mmd_by_batch(e.where("label < 5"), e.where("label >= 5"), "vec_id", "embedding", MMD_ROWS)
-    return out.withColumn("mmd", F.round(F.col("mmd") * 1000, 5))
+    return out.withColumns({c: F.round(F.col(c) * 1000, 5) for c in ("mmd", "pooled")})
 
 
 @query("""WITH long AS (SELECT i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)), m AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM long GROUP BY 1),

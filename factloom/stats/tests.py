@@ -2,16 +2,56 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.amounts import normal_cdf
 from ..operators.order import cumulative_share, join_null_safe
 
 
+# fixed values: coefficients of the Lanczos approximation of the gamma function (g = 7)
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+           12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z of 0.5 and above."""
+    x = z - 1
+    series = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        series = series + F.lit(c) / (x + k)
+    return 0.5 * F.log(F.lit(2 * math.pi)) + (x + 0.5) * F.log(x + 7.5) - (x + 7.5) + F.log(series)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 600) -> Column:
+    """Regularised incomplete beta function by its continued fraction; a and b of 0.5 and above, x in [0, 1]."""
+    def fraction(a, b, x):
+        def step(d, c, h, term):
+            d, c = 1 + term * d, 1 + term / c
+            d = 1 / F.when(F.abs(d) < 1e-300, F.lit(1e-300)).otherwise(d)
+            c = F.when(F.abs(c) < 1e-300, F.lit(1e-300)).otherwise(c)
+            return d, c, h * d * c
+
+        def both(s, m):
+            d, c, h = step(s["d"], s["c"], s["h"], m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+            once = F.struct(d.alias("d"), c.alias("c"), h.alias("h"))
+            return F.transform(F.array(once), lambda t: F.struct(*[v.alias(n) for v, n in zip(step(
+                t["d"], t["c"], t["h"], -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))), "dch")]))[0]
+
+        first = 1 / (1 - (a + b) * x / (a + 1))
+        start = F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, both, lambda s: s["h"])
+
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    return (F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), front * fraction(a, b, x) / a)
+            .otherwise(1 - front * fraction(b, a, 1 - x) / b))
+
+
 def welch_t(df: DataFrame, value: str, flag: str) -> DataFrame:
     """Two-sample t-test with unequal variances for a boolean flag (true minus false).
 
-    One row: means, counts, t, degrees of freedom and a two-sided p from the normal limit.
+    One row: means, counts, t, degrees of freedom and a two-sided p from the t distribution.
     """
     def side(cond):
         x = F.when(cond, F.col(value))
@@ -22,7 +62,8 @@ def welch_t(df: DataFrame, value: str, flag: str) -> DataFrame:
     s1, s0 = F.col("_v1") / F.col("n_true"), F.col("_v0") / F.col("n_false")
     out = base.withColumn("t", (F.col("mean_true") - F.col("mean_false")) / F.sqrt(s1 + s0)).withColumn(
         "df", F.pow(s1 + s0, F.lit(2.0)) / (s1 * s1 / (F.col("n_true") - 1) + s0 * s0 / (F.col("n_false") - 1)))
-    return out.withColumn("p", 2 * (1 - normal_cdf(F.abs("t")))).drop("_v1", "_v0")
+    p = incomplete_beta(F.greatest(F.col("df") / 2, F.lit(0.5)), F.lit(0.5), F.col("df") / (F.col("df") + F.col("t") * F.col("t")))
+    return out.withColumn("p", p).drop("_v1", "_v0")
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:

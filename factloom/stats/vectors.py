@@ -90,7 +90,7 @@ def stacker():
 def nearest_code(df: DataFrame, codebook: DataFrame, vec: str = "vec", code: str = "code", code_vec: str = "code_vec") -> DataFrame:
     """Attach the nearest codeword (lowest code on ties) and the Euclidean distance to it.
 
-    The codebook's size is checked before it is sent to the tasks.
+    The codebook's size is checked before it is sent to the tasks. A NULL vector gets a NULL code and distance.
     """
     size = codebook.agg(F.coalesce(F.sum(F.size(code_vec)), F.lit(0))).first()[0]
     if size > MAX_BOOK_VALUES:
@@ -102,14 +102,17 @@ def nearest_code(df: DataFrame, codebook: DataFrame, vec: str = "vec", code: str
 
     @F.pandas_udf(f"struct<{code}:{code_type},distance:double>")
     def assign(v: pd.Series) -> pd.DataFrame:
-        best, dist = [], []
-        step = max(1, 4_000_000 // len(codes))
-        for start in range(0, len(v), step):
-            x = stack(v.iloc[start:start + step])
+        out = pd.DataFrame({code: pd.Series([None] * len(v), dtype=object), "distance": np.full(len(v), np.nan)})
+        full = np.flatnonzero(v.notna().to_numpy())
+        step = max(1, 4_000_000 // max(len(codes), 1))
+        for start in range(0, len(full) if len(codes) else 0, step):
+            at = full[start:start + step]
+            x = stack(v.iloc[at])
             pick = np.argmin(half - x @ book.T, axis=1)
-            best.append(codes[pick])
-            dist.append(np.sqrt(((x - book[pick]) ** 2).sum(axis=1)))
-        return pd.DataFrame({code: np.concatenate(best), "distance": np.concatenate(dist)})
+            out.loc[at, code] = codes[pick].astype(object)
+            out.loc[at, "distance"] = np.sqrt(((x - book[pick]) ** 2).sum(axis=1))
+        out["distance"] = out["distance"].astype(object).where(out["distance"].notna(), None)
+        return out
 
     return df.withColumn("_c", assign(vec)).select(*[c for c in df.columns if c != code], "_c.*")
 
@@ -134,19 +137,27 @@ def update_codebook(state: DataFrame, assigned: DataFrame, decay: float = 0.99,
             .select(code, "ema_count", "ema_sum", "code_vec"))
 
 
-def _batches(df: DataFrame, key: str, vec: str, n: int, seed: int, side: str) -> DataFrame:
+def _batches(df: DataFrame, key: str, vec: str, n: int, rows: int, seed: int, side: str) -> DataFrame:
+    """Rows dealt into ``n`` batches; if there are fewer rows than batches, each row comes in several."""
     ranked = hash_rank(df.select(key, vec), key, seed, out="_rank", total="_total")
-    return ranked.select(F.expr(f"(_rank - 1) % {n}").cast("bigint").alias("batch"), F.lit(side).alias("side"), F.col(vec).alias("v"))
+    dealt = ranked.withColumn("batch", F.expr(f"(_rank - 1) % {n}").cast("bigint"))
+    if rows < n:
+        dealt = dealt.withColumn("batch", F.explode(F.sequence(F.col("batch"), F.lit(n - 1).cast("bigint"), F.lit(rows).cast("bigint"))))
+    return dealt.select("batch", F.lit(side).alias("side"), F.col(vec).alias("v"))
 
 
 def mmd_by_batch(a: DataFrame, b: DataFrame, key: str, vec: str = "vec", batch_rows: int = 200, seed: int = 0) -> DataFrame:
-    """Kernel mean discrepancy between two samples, per random batch: batch, n_a, n_b, mmd.
+    """Kernel mean discrepancy between two samples, per random batch: batch, n_a, n_b, mmd, pooled.
 
     Kernel exp(-mean squared difference / dimensions). Rows of both tables are dealt into the same
     number of batches, the larger table having at most ``batch_rows`` per batch; a task holds one
-    batch and returns one row, so the work grows with the number of rows.
+    batch and returns one row, so the work grows with the number of rows. A table with fewer rows than batches is dealt
+    round and round, so that no batch is without a partner. ``pooled`` is the mean over all batches, weighted by their pairs.
+    Rows without a vector are left out; no batches come out if one table is empty.
     """
-    n = max(1, -(-max(a.count(), b.count()) // batch_rows))
+    a, b = a.where(F.col(vec).isNotNull()), b.where(F.col(vec).isNotNull())
+    rows_a, rows_b = a.count(), b.count()
+    n = max(1, -(-max(rows_a, rows_b) // batch_rows))
 
     stack = stacker()
 
@@ -156,14 +167,16 @@ def mmd_by_batch(a: DataFrame, b: DataFrame, key: str, vec: str = "vec", batch_r
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == "a"], pdf[pdf["side"] == "b"]
-        value = None
-        if len(left) and len(right):
-            x, y = stack(left["v"]), stack(right["v"])
-            value = kernel(x, x) + kernel(y, y) - 2 * kernel(x, y)
+        x, y = stack(left["v"]), stack(right["v"])
+        value = kernel(x, x) + kernel(y, y) - 2 * kernel(x, y)
         return pd.DataFrame({"batch": [pdf["batch"].iat[0]], "n_a": [len(left)], "n_b": [len(right)], "mmd": [value]})
 
-    both = _batches(a, key, vec, n, seed, "a").unionByName(_batches(b, key, vec, n, seed + 1, "b"))
-    return both.groupBy("batch").applyInPandas(one, "batch bigint, n_a bigint, n_b bigint, mmd double")
+    both = _batches(a, key, vec, n, rows_a, seed, "a").unionByName(_batches(b, key, vec, n, rows_b, seed + 1, "b"))
+    both = both if rows_a and rows_b else both.limit(0)
+    batches = both.groupBy("batch").applyInPandas(one, "batch bigint, n_a bigint, n_b bigint, mmd double")
+    pairs = F.col("n_a") * F.col("n_b")
+    pooled = batches.agg((F.sum(F.col("mmd") * pairs) / F.sum(pairs)).alias("pooled"))
+    return batches.crossJoin(F.broadcast(pooled))
 
 
 def pca_fit(df: DataFrame, vec: str = "vec", k: int | None = None, variance: float | None = None) -> DataFrame:

@@ -32,6 +32,19 @@ def counts_by_day_stream(arrivals: DataFrame, ts: str, by=(), late: str = "2 day
     return counts.select(F.to_date("w.start").alias("day"), *by, "n")
 
 
+def counts_by_day_complete(closed: DataFrame, arrived: DataFrame, ts: str, by=()) -> DataFrame:
+    """Counts of all days once the input has ended: ``closed`` days of the stream, and the open ones counted anew."""
+    open_ = arrived.withColumn("day", F.to_date(ts)).join(closed.select("day").distinct(), "day", "left_anti")
+    rest = open_.groupBy("day", *by).agg(F.count(F.lit(1)).alias("n"))
+    return closed.select("day", *by, "n").unionByName(rest)
+
+
+def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The newest version of a codebook that ``codebook_stream`` has written."""
+    versions = spark.read.parquet(state_path)
+    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+
+
 def dedupe_stream(arrivals: DataFrame, key, ts: str, late: str = "1 hour") -> DataFrame:
     """First arrival per key; state is kept as long as the watermark allows duplicates."""
     timed = arrivals.withColumn(ts, F.col(ts).cast("timestamp"))

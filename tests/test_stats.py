@@ -225,3 +225,27 @@ def test_three_cos_mul_variants(spark):
     df = spark.createDataFrame([([1.0, 0.2], [0.3, 1.0], [0.5, 0.6], [1.0, -0.4])], "a array<double>, wa array<double>, b array<double>, wb array<double>")
     signed = df.select(vx.three_cos_mul("a", "wa", "b", "wb", absolute=False)).first()[0]
     assert abs(signed) == pytest.approx(df.select(vx.three_cos_mul("a", "wa", "b", "wb")).first()[0])
+
+
+def test_welch_small_sample(spark):
+    df = spark.createDataFrame([(v, f) for f, vs_ in ((True, (1.0, 2.0, 4.0)), (False, (5.0, 6.0, 9.0))) for v in vs_], "v double, f boolean")
+    got = stests.welch_t(df, "v", "f").first()
+    assert got.df == pytest.approx(3.6697, abs=1e-3) and got.p == pytest.approx(0.0486, abs=5e-4)
+    same = stests.welch_t(spark.createDataFrame([(1.0, True), (2.0, True), (1.0, False), (2.0, False)], "v double, f boolean"), "v", "f").first()
+    assert same.t == 0 and same.p == pytest.approx(1.0)
+
+
+def test_small_partner_is_in_every_batch(spark):
+    a = spark.range(1000).select(F.col("id"), F.array(F.rand(1), F.rand(2)).alias("vec"))
+    b = spark.range(3).select(F.col("id"), F.array(F.rand(3), F.rand(4)).alias("vec"))
+    got = vs.mmd_by_batch(a, b, "id", batch_rows=100).collect()
+    assert len(got) == 10 and all(r.n_a == 100 and r.n_b == 1 and r.mmd is not None for r in got)
+    assert got[0].pooled == pytest.approx(sum(r.mmd for r in got) / 10)
+    assert vs.mmd_by_batch(a, b.limit(0), "id").count() == 0
+
+
+def test_null_vectors_have_no_code(spark):
+    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0])], "code int, code_vec array<double>")
+    df = spark.createDataFrame([(1, [0.9, 1.2]), (2, None), (3, [0.1, 0.0])], "id int, vec array<double>")
+    got = {r.id: (r.code, r.distance) for r in vs.nearest_code(df, book).collect()}
+    assert got[1][0] == 1 and got[2] == (None, None) and got[3] == (0, pytest.approx(0.1))
