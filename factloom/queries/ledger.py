@@ -18,7 +18,7 @@ o_totalprice - 250000 AS bc_trans_value, o_orderstatus AS trans_type, CASE WHEN
 o_orderkey FROM orders)"""
 REFS = """cur_c AS (SELECT trans_date, document_ref, CASE WHEN trans_type = 'P' THEN 'X' || account_no ELSE ' ' || account_no END AS account_no FROM led),
 cust AS (SELECT trans_date, document_ref, max(coalesce(TRY_CAST(trim(account_no) AS BIGINT), 0)) AS cust_ref FROM cur_c GROUP BY 1, 2),
-supp AS (SELECT trans_date, document_ref, max(l_suppkey) AS supp_ref FROM led JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY 1, 2)"""
+supp AS (SELECT trans_date, document_ref, max(l_suppkey) AS supp_ref FROM led JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 def ledger(t: Tables):
@@ -38,7 +38,7 @@ def _references(t: Tables):
     c = led.withColumn("account_no", text)
     old, new = F.year("trans_date") < 1999, F.year("trans_date") >= 1998  # the two overlap by a year
     customers = plan.account_references(c.where(new), c.where(old), "document_ref", "cust_ref")
-    s = (led.join(t.lineitem.where("l_linenumber <= 3"), F.col("l_orderkey") == F.col("o_orderkey"))
+    s = (led.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
          .withColumn("account_no", F.col("l_suppkey").cast("string")))
     suppliers = plan.account_references(s.where(new), s.where(old), "document_ref", "supp_ref")
     return customers, suppliers

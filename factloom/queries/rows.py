@@ -171,10 +171,11 @@ def dirty_amounts(t):
 
 
 @query("""SELECT doc_id, coalesce(TRY_CAST(array_to_string(regexp_extract_all(text, '\\d+\\.\\d+|\\d+'), '') AS DOUBLE), 0) >= 1 AS has_number,
-TRY_CAST(trim(substr(text, 1, 4)) AS DOUBLE) IS NOT NULL AS numeric_start FROM documents""")
+len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '' AND TRY_CAST(x AS DOUBLE) IS NOT NULL)) AS numeric_words FROM documents""")
 def numbers_in_text(t):
     return t.documents.select("doc_id", (F.coalesce(amounts.parse_amount("text"), F.lit(0.0)) >= 1).alias("has_number"),
-                              amounts.is_numeric(F.substring("text", 1, 4)).alias("numeric_start"))
+                              F.size(F.filter(F.split("text", r"[ \t\r\n]+"), lambda x: (x != "") & amounts.is_numeric(x)))
+                              .cast("bigint").alias("numeric_words"))
 
 
 @query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(embedding[i]::VARCHAR::DOUBLE, 10) AS x FROM embeddings, range(1, 65) r(i)""")
@@ -208,11 +209,14 @@ def melt(t):
     return reshape.gather(t.part.select("p_partkey", "p_name", "p_brand", "p_type"), ["p_partkey"], ["p_name", "p_brand", "p_type"], "attribute", "value")
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 @query("""SELECT user_id, """ + ", ".join(
-    f"CAST(coalesce(max(value) FILTER (event_type = '{e}'), -1) AS DOUBLE) AS {e}" for e in ("click", "error", "view"))
+    f"CAST(coalesce(max(value) FILTER (event_type = '{e}'), -1) AS DOUBLE) AS {e}" for e in EVENT_TYPES)
     + " FROM events GROUP BY 1")
 def spread_fill(t):
-    return reshape.spread(t.events, ["user_id"], "event_type", "value", ["click", "error", "view"], -1.0)
+    return reshape.spread(t.events, ["user_id"], "event_type", "value", list(EVENT_TYPES), -1.0)
 
 
 @query("""SELECT doc_id, CASE quality WHEN 1 THEN 10 WHEN 0 THEN 11 END AS quality, CASE toxic WHEN 1 THEN 10 WHEN 0 THEN 11 END AS toxic FROM labels""")

@@ -72,12 +72,12 @@ def analogy_distance(t):
 
 
 @query(f"""WITH {PAIRS}, n AS (SELECT * FROM p WHERE d <= {RADIUS}) SELECT id_a, id_b, CAST(s AS INTEGER) AS step,
-round(va[1] + (vb[1] - va[1]) * s / 4, 6) AS first, round(va[64] + (vb[64] - va[64]) * s / 4, 6) AS last FROM n, range(0, 5) r(s)""")
+CAST(i - 1 AS INTEGER) AS pos, round(va[i] + (vb[i] - va[i]) * s / 4, 6) AS x FROM n, range(0, 5) r(s), range(1, 65) q(i)""")
 def interpolated(t):
     e = t.embeddings
     near = pairs.attach_pair_vectors(pairs.near_pairs(e, "vec_id", "embedding", RADIUS), e, "vec_id", ["embedding"])
     steps = pairs.interpolate(near, "embedding_a", "embedding_b", 3, ["id_a", "id_b"])
-    return steps.select("id_a", "id_b", "step", rounded(F.col("point")[0]).alias("first"), rounded(F.col("point")[63]).alias("last"))
+    return steps.select("id_a", "id_b", "step", F.posexplode("point").alias("pos", "x")).withColumn("x", rounded("x"))
 
 
 @query(f"WITH {MEDIANS} SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(m, 6) AS x FROM med")
@@ -264,9 +264,9 @@ def sample_per_label(t):
 @query()
 def batch_errors(t):
     """Mean reconstruction error of random batches of real and of fake vectors."""
-    e = t.embeddings.select(F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)])
+    e = t.embeddings.select(F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
     from ..features.inject import fake_truncated_normal
-    cols = [f"x{i}" for i in range(16)]
+    cols = [f"x{i}" for i in range(64)]
     fake = fake_truncated_normal(e, cols, e.count())
     model = vs.pca_fit(e.select(F.array(*cols).alias("v")), "v", 4)
 
