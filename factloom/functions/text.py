@@ -6,7 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from .keys import _col
 
-SENTENCE = r"[A-Z]{1}[^\._!?]*\s+[^.!?\n]*"
+# fixed values: a sentence, from a capital letter to the closing mark
+SENTENCE_START, SENTENCE_END = r"[A-Z]{1}[^\._!?]*", r"\s+[^.!?\n]*"
+SENTENCE = SENTENCE_START + SENTENCE_END
+# fixed values: marks of sections and paragraphs in the corpus
+MARKERS = ("\n_START_SECTION_\n", "\n_START_PARAGRAPH_\n")
 SPACES = r"(?U)\s+"
 
 
@@ -15,7 +19,7 @@ def ascii_only(col) -> Column:
     return F.regexp_replace(_col(col), r"[^\x00-\x7F]", "")
 
 
-def strip_markers(col, markers=("\n_START_SECTION_\n", "\n_START_PARAGRAPH_\n")) -> Column:
+def strip_markers(col, markers=MARKERS) -> Column:
     """Prepare running text for sentence extraction: dotted abbreviations, tildes and corpus markers."""
     out = _col(col)
     for old, new in (("e.g.", "eg"), ("i.e.", "ie"), ("~", "-"), *((m, ". ") for m in markers)):
@@ -32,9 +36,14 @@ def word_count(col) -> Column:
     return F.size(words(col))
 
 
+def quoted(word: str) -> str:
+    """A word as itself in a regular expression, whatever characters it has."""
+    return r"\Q" + word.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
 def keyword_pattern(keywords) -> str:
     """Case-insensitive whole-word test for any keyword; letters of any alphabet bound a word."""
-    return r"(?iU)\b(" + "|".join(keywords) + r")\b"
+    return r"(?iU)\b(" + "|".join(quoted(k) for k in keywords) + r")\b"
 
 
 def contains_keyword(col, keywords) -> Column:
@@ -80,7 +89,7 @@ def around_keyword(sentence, keyword: str) -> tuple[Column, Column]:
 def first_keyword(col, keywords) -> Column:
     """The first keyword, in list order, that appears as a whole word after a space; NULL when none does."""
     col = _col(col)
-    tests = [F.when(col.rlike(r"(?U)\s" + k + r"\b"), F.lit(k)) for k in keywords]
+    tests = [F.when(col.rlike(r"(?U)\s" + quoted(k) + r"\b"), F.lit(k)) for k in keywords]
     return F.coalesce(*tests)
 
 

@@ -65,12 +65,11 @@ def items_with_example(df: DataFrame, item: str, example: str, order) -> DataFra
         F.min_by(example, F.struct(*order)).alias("example"))
 
 
-def concat_group(df: DataFrame, by, col: str, order, sep: str = " ", out: str = "text",
-                 part_rows: int = 100_000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join the texts of a group in order.
+def concat_group(df: DataFrame, by, col: str, order, part_rows: int, sep: str = " ", out: str = "text",
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join the texts of a group in order, in parts of ``part_rows`` rows.
 
-    A group longer than ``part_rows`` comes in several rows, numbered by ``part``, so that no text
-    grows with the size of one group.
+    Every group comes as its parts, numbered by ``part`` from 0, so that no text grows with the size of one group.
     """
     numbered = entity_windows(df.where(F.col(col).isNotNull()), by, order, seq="_seq", hot_rows=hot_rows)
     parts = numbered.withColumn("part", F.expr(f"cast((_seq - 1) div {part_rows} as int)"))

@@ -18,17 +18,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.keys import hash60
 from ..session import cut_lineage
 
-MIN_BUCKETS, MAX_BUCKETS = 256, 8192
+MIN_BUCKETS = 256
 HOT_ROWS = 4_000_000
 CHUNK_ROWS = 250_000
 
 
 def bucket_count(df: DataFrame, wanted: int | None = None) -> int:
-    """Value buckets to use: a power of two near the number of shuffle partitions, within limits."""
+    """Value buckets to use: a power of two from the number of shuffle partitions on."""
     if wanted is not None:
         return wanted
     partitions, n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MIN_BUCKETS
-    while n < min(partitions, MAX_BUCKETS):
+    while n < partitions:
         n *= 2
     return n
 

@@ -7,18 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.keys import hash60
 from .order import hash_rank, with_position
 
-LIMIT_WINDOW = 1000  # up to here Spark limits the rows of a group before the shuffle
-
-
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0, by=(), where=None) -> DataFrame:
     """n rows of the table, or of each group, in a repeatable random choice. ``key`` identifies a row."""
     rows = df if where is None else df.where(where)
-    order = [hash60(key, seed), F.col(key)]
-    if by and n < LIMIT_WINDOW:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    if not by and n < LIMIT_WINDOW:
-        return rows.orderBy(*order).limit(n)
     return hash_rank(rows, key, seed, by, "_rn", "_total").where(F.col("_rn") <= n).drop("_rn", "_total")
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..features.encode import fit_levels, level_names, one_hot, one_hot_mapping
-from ..features.inject import inject_uniform_rows
 from ..features.scale import fit_minmax, minmax_scale
 from ..functions.amounts import blank_to, is_numeric
 from ..functions.dates import date_parts
 from ..functions.keys import account_digits
 from ..operators.groups import lump_top_n
 from ..operators.sets import union_all, union_distinct
-from ..stats.errors import explain_errors, top_fields_per_row
+from ..stats.errors import top_fields_per_row
 from ..stats.vectors import pca_anomaly
 
 
@@ -76,5 +75,3 @@ def score_ledger(encoded: DataFrame, levels: dict, numbers, key: str, k: int, fi
         owned.setdefault(f, []).append(c)
     return scored, top_fields_per_row(squared, [key, "error"], owned, fields)
 
-
-__all__ = ["account_references", "ledger_rows", "prepare_ledger", "score_ledger", "inject_uniform_rows", "explain_errors"]

@@ -31,7 +31,7 @@ def cause_effect(df: DataFrame, key: str, text: str, connectives: dict[str, bool
     clean = df.select(key, tx.strip_markers(text).alias("_t"))
     parts = []
     for word, cause_last in connectives.items():
-        pattern = r"(?U)[A-Z]{1}[^\._!?]*\b" + word + r"\b\s+[^.!?\n]*"
+        pattern = rf"(?U){tx.SENTENCE_START}\b{tx.quoted(word)}\b{tx.SENTENCE_END}"
         rows = clean.select(key, F.posexplode(tx.sentences("_t", pattern)).alias("incidence", "_s"))
         before, after = tx.around_keyword("_s", word)
         effect, cause = (before, after) if cause_last else (after, before)

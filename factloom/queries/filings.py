@@ -10,7 +10,6 @@ from ..functions.dates import yyyymmdd
 from ..functions.keys import make_key, split_prefix
 from ..operators import dedupe, filters, groups, joins, reshape, sparsity
 from ..plans import filings as plan
-from ..session import spread
 from .base import Tables, query, round_columns, rounded
 
 # line items read as facts: report = order, tag = part group, unit by return flag
@@ -37,7 +36,7 @@ DEDUPED = f"""{FACTS}, {UNIT_SEQ}, ranked AS (SELECT f.*, coalesce(u.priority, (
 
 
 def facts(t: Tables) -> DataFrame:
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("report"),
         F.concat(F.lit("Tag"), (F.col("l_partkey") % 8).cast("string")).alias("tag"),
         F.when(F.col("l_linenumber") == 7, "shares").otherwise(case_map("l_returnflag", UNITS)).alias("uom"),

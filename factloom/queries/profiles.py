@@ -114,10 +114,11 @@ def crosstab(t):
     return groups.crosstab(t.orders, "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
 
 
-@query("""SELECT conv_id, string_agg(role || ':' || text, ' | ' ORDER BY turn) AS dialogue, CAST(0 AS INTEGER) AS part FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, string_agg(role || ':' || text, ' | ' ORDER BY turn) AS dialogue, part FROM (SELECT *,
+CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS INTEGER) AS part FROM conversations) GROUP BY conv_id, part""")
 def concat_group(t):
     turns = t.conversations.withColumn("line", F.concat("role", F.lit(":"), "text"))
-    return groups.concat_group(turns, ["conv_id"], "line", ["turn"], " | ", "dialogue")
+    return groups.concat_group(turns, ["conv_id"], "line", ["turn"], 3, " | ", "dialogue")
 
 
 @query("""SELECT p_type, count(*) AS n, arg_min(p_name, p_partkey) AS example FROM part GROUP BY 1""")

@@ -35,7 +35,7 @@ def vector_distances(t):
     return round_columns(out, ["cosine", "euclidean", "manhattan"])
 
 
-RADIUS = 1.0
+RADIUS = 1.12  # about one pair in a thousand
 PAIRS = f"""p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.embedding::DOUBLE[] AS va, b.embedding::DOUBLE[] AS vb,
 list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"""
 

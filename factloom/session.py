@@ -40,12 +40,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one partition per core before heavy per-row work; larger scans are left alone.
-
-    A scan of many files has more partitions than cores, so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -7,7 +7,7 @@ import pytest
 import oracle
 from factloom.queries import ORACLES, QUERIES
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not there")
 
 
@@ -22,9 +22,12 @@ def test_names():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, con, name):
-    assert oracle.compare(spark, con, name, FOLDER) in ("", "empty")
+    found = oracle.compare(spark, con, name, FOLDER)
+    if found == "empty":  # nothing in the smallest tables: the next larger ones must show something
+        found = oracle.compare(spark, oracle.duck(LARGER), name, LARGER)
+    assert found == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    assert QUERIES[name](spark, FOLDER).count() > 0

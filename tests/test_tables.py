@@ -122,7 +122,7 @@ def test_groups(spark):
     assert [r.g for r in groups.lump_top_n(df, "g", 5).orderBy("id").collect()] == ["a", "a", "b", "b", None]
     assert rows(groups.histogram_edges(df, "v", -1.0, 5.0, 3), "bin") == [(1, 1), (2, 1), (3, 2)]
     assert groups.best_run(df, "v", "id").first().id == 4
-    assert rows(groups.concat_group(df.where("g is not null"), ["g"], "id", ["id"], "-", part_rows=1), "g", "part") == [
+    assert rows(groups.concat_group(df.where("g is not null"), ["g"], "id", ["id"], 1, "-"), "g", "part") == [
         ("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3"), ("b", 1, "4")]
     p = {r.column: r for r in groups.profile(df).collect()}
     assert (p["v"].n_missing, p["v"].n_distinct, p["g"].n_distinct, p["g"].mean) == (1, 4, 2, None)
