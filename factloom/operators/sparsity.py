@@ -6,13 +6,11 @@ aggregate, and every later question is asked of the pattern table.
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .order import exact_quantiles
 
 MASK_BITS = 62
@@ -48,83 +46,109 @@ def reduce_sparsity(df: DataFrame, cols, min_col: int, min_row: int) -> DataFram
 
 
 def pattern_counts(df: DataFrame, cols) -> DataFrame:
-    """(mask, n): bit i of the mask is set when column i is filled."""
-    if len(cols) > MASK_BITS:
-        raise ValueError(f"at most {MASK_BITS} columns; reduce sparsity first")
-    mask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-                for i, c in enumerate(cols)), F.lit(0).cast("bigint"))
-    return df.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
+    """(masks, n): rows by the pattern of their filled cells; bit i % 62 of long i // 62 is set when column i is filled."""
+    longs = []
+    for start in range(0, max(len(cols), 1), MASK_BITS):
+        part = cols[start:start + MASK_BITS]
+        longs.append(sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+                          for i, c in enumerate(part)), F.lit(0).cast("bigint")))
+    return df.groupBy(F.array(*longs).alias("masks")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _filled(i: int):
+    return F.col("masks")[i // MASK_BITS].bitwiseAND(F.lit(1 << i % MASK_BITS)) != 0
 
 
 def greedy_complete_columns(df: DataFrame, cols, ratio: float = 0.75) -> DataFrame:
     """Complete rows for the first 1, 2, ... columns, leaving out columns that cost too many rows.
 
     When adding a column keeps fewer than ``ratio`` of the previous complete rows it is dropped and
-    the prefix is tried again. The pattern table is aggregated once per dropped column.
-    Result: column_qty, column, complete_rows.
+    the rest is tried again. One aggregate per dropped column counts the patterns by the first column they lack,
+    which gives all prefixes at once. Result: column_qty, column, complete_rows.
     """
-    patterns = pattern_counts(df, cols).cache()
-    bit = {c: 1 << i for i, c in enumerate(cols)}
-    left = list(cols)
-    while True:
-        prefix, total = [], 0
-        for c in left:
-            total |= bit[c]
-            prefix.append(total)
-        counts = patterns.agg(*[
-            F.coalesce(F.sum(F.when(F.col("mask").bitwiseAND(F.lit(m)) == m, F.col("n"))), F.lit(0)).alias(f"k{i}")
-            for i, m in enumerate(prefix)]).first()
+    patterns, left, cols = cut_lineage(pattern_counts(df, cols)), list(range(len(cols))), list(cols)
+    counts: list[int] = []
+    while left:
+        lacks = F.coalesce(*[F.when(~_filled(c), F.lit(i)) for i, c in enumerate(left)], F.lit(len(left)))
+        first = {r["at"]: r["n"] for r in patterns.groupBy(lacks.alias("at")).agg(F.sum("n").alias("n")).collect()}
+        counts, total = [], sum(first.values())  # at most one row per column
+        for i in range(len(left)):
+            total -= first.get(i, 0)
+            counts.append(total)
         drop = next((i for i in range(1, len(left)) if counts[i] < ratio * counts[i - 1]), None)
         if drop is None:
             break
         left.pop(drop)
-    patterns.unpersist()
-    rows = [(i + 1, c, int(counts[i])) for i, c in enumerate(left)]
+    rows = [(i + 1, cols[c], int(counts[i])) for i, c in enumerate(left)]
     return df.sparkSession.createDataFrame(rows, "column_qty int, column string, complete_rows bigint")
 
 
-def _candidate_masks(weights, k: int, attempts: int, seed: int) -> list[int]:
-    """All k-subsets when there are at most ``attempts``, else the heaviest one and weighted random ones."""
-    n = len(weights)
-    if comb(n, k) <= attempts:
-        return [sum(1 << i for i in pick) for pick in combinations(range(n), k)]
-    share = np.asarray(weights, dtype=float)
-    share = share / share.sum()
-    rng = np.random.default_rng(seed + k)
-    found = {sum(1 << int(i) for i in np.argsort(-share, kind="stable")[:k])}
-    while len(found) < attempts:
-        found.add(sum(1 << int(i) for i in rng.choice(n, size=k, replace=False, p=share)))
-    return sorted(found)
-
-
-def best_column_subset(df: DataFrame, cols, ks, attempts: int = 10_000, seed: int = 0,
-                       top_columns: int = 25) -> DataFrame:
-    """Complete rows for many column subsets of each size: column_qty, mask, column_list, complete_rows.
-
-    Only the ``top_columns`` fullest columns take part. Each task tests its patterns against the
-    candidate masks (a bounded list) and returns one partial count per candidate.
-    """
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    used = sorted((c for c in cols if counts[c] > 0), key=lambda c: (-counts[c], c))[:top_columns]
-    weights = [counts[c] for c in used]
-    tested = [(k, m) for k in ks if k <= len(used) for m in _candidate_masks(weights, k, attempts, seed)]
-    masks = np.array([m for _, m in tested], dtype=np.int64)
-    step = max(1, 4_000_000 // max(1, len(masks)))  # patterns tested at once
+def _complete(patterns: DataFrame, sets: list[tuple[int, ...]], width: int) -> np.ndarray:
+    """Rows complete on each set of columns: one pass over the patterns, a partial count per set and task."""
+    masks = np.zeros((len(sets), -(-width // MASK_BITS)), dtype=np.int64)
+    for k, columns in enumerate(sets):
+        for c in columns:
+            masks[k, c // MASK_BITS] |= 1 << c % MASK_BITS
+    step = max(1, 2_000_000 // max(1, masks.size))
 
-    def count_matches(batches):
+    def count(batches):
         totals = np.zeros(len(masks), dtype=np.int64)
         for batch in batches:
-            pattern, n = batch["mask"].to_numpy(), batch["n"].to_numpy()
+            pattern, n = np.stack(batch["masks"].to_numpy()) if len(batch) else masks[:0], batch["n"].to_numpy()
             for start in range(0, len(pattern), step):
                 part = pattern[start:start + step, None]
-                totals += ((part & masks) == masks).T @ n[start:start + step]
+                totals += ((part & masks) == masks).all(axis=2).T @ n[start:start + step]
         hit = np.nonzero(totals)[0]
         yield pd.DataFrame({"candidate": hit, "n": totals[hit]})
 
-    partial = pattern_counts(df, used).mapInPandas(count_matches, "candidate bigint, n bigint")
-    sums = partial.groupBy("candidate").agg(F.sum("n").alias("n"))
-    names = [(i, k, int(m), [c for b, c in enumerate(used) if m >> b & 1]) for i, (k, m) in enumerate(tested)]
-    table = df.sparkSession.createDataFrame(
-        names, "candidate bigint, column_qty int, mask bigint, column_list array<string>")
-    return (table.join(sums, "candidate", "left")
-            .select("column_qty", "mask", "column_list", F.coalesce("n", F.lit(0)).alias("complete_rows")))
+    out = np.zeros(len(sets), dtype=np.int64)
+    for r in patterns.mapInPandas(count, "candidate bigint, n bigint").groupBy("candidate").agg(F.sum("n").alias("n")).collect():
+        out[r["candidate"]] = r["n"]  # one row per set, bounded by the caller
+    return out
+
+
+def best_column_subset(df: DataFrame, cols, ks, most_sets: int = 1_000_000) -> DataFrame:
+    """The column subset of each size with the most complete rows: column_qty, column_list, complete_rows, tried.
+
+    Exact. A greedy choice gives a bound for the largest size; since complete rows never rise when a column is
+    added, sets below that bound cannot be part of an answer, and sets grow level by level from those above it. Of
+    equally good sets the one with the earliest columns is given. ``tried`` is the number of sets counted at that size.
+    More than ``most_sets`` sets in a level are an error, never a guess. Sizes with no complete row, or
+    above the number of filled columns, have no row.
+    """
+    cols, ks = list(cols), sorted(set(ks))
+    patterns = cut_lineage(pattern_counts(df, cols))
+    single = _complete(patterns, [(i,) for i in range(len(cols))], len(cols))
+    used = [i for i in range(len(cols)) if single[i]]
+    ks = [k for k in ks if k <= len(used)]
+    out = []
+    if ks:
+        chosen = [max(used, key=lambda i: (single[i], -i))]
+        bound = int(single[chosen[0]])
+        while len(chosen) < ks[-1]:
+            options = [i for i in used if i not in chosen]
+            rows = _complete(patterns, [tuple(sorted((*chosen, i))) for i in options], len(cols))
+            chosen.append(options[int(rows.argmax())])
+            bound = int(rows.max())
+        bound = max(bound, 1)
+        level, rows = [(i,) for i in used], [int(single[i]) for i in used]
+        for k in range(1, ks[-1] + 1):
+            if k in ks and level:
+                best = max(range(len(level)), key=lambda j: (rows[j], tuple(-c for c in level[j])))
+                if rows[best] > 0:
+                    out.append((k, [cols[c] for c in level[best]], rows[best], len(level)))
+            if k == ks[-1]:
+                break
+            kept = sorted(s for s, n in zip(level, rows) if n >= bound)
+            known, level = set(kept), []
+            for i, a in enumerate(kept):
+                for b in kept[i + 1:]:
+                    if a[:-1] != b[:-1]:
+                        break
+                    grown = (*a, b[-1])
+                    if all(grown[:j] + grown[j + 1:] in known for j in range(len(grown) - 2)):
+                        level.append(grown)
+                if len(level) > most_sets:
+                    raise ValueError(f"more than {most_sets} column sets of size {k + 1} remain; ask for smaller sizes")
+            rows = _complete(patterns, level, len(cols)).tolist() if level else []
+    return df.sparkSession.createDataFrame(out, "column_qty int, column_list array<string>, complete_rows bigint, tried bigint")

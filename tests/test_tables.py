@@ -107,8 +107,30 @@ def test_column_subsets_against_brute_force(spark):
     from itertools import combinations
     df, cols = wide(spark), list("abcd")
     pdf = df.toPandas()
-    got = {tuple(sorted(r.column_list)): r.complete_rows for r in sparsity.best_column_subset(df, cols, [1, 2, 3]).collect()}
-    assert got == {c: len(pdf.dropna(subset=list(c))) for k in (1, 2, 3) for c in combinations("abc", k)}
+    got = {r.column_qty: (tuple(r.column_list), r.complete_rows) for r in sparsity.best_column_subset(df, cols, [1, 2, 3, 4, 9]).collect()}
+    for k in (1, 2, 3):
+        counts = {c: len(pdf.dropna(subset=list(c))) for c in combinations("abcd", k)}
+        best = max(counts.values())
+        assert got[k] == (next(c for c in combinations("abcd", k) if counts[c] == best), best)
+    assert set(got) == {1, 2, 3}  # "d" is empty
+    import numpy as np
+    rng = np.random.default_rng(3)
+    many = [f"c{i}" for i in range(130)]  # more columns than bits of a long
+    filled = rng.uniform(size=(400, 130)) < np.linspace(0.3, 0.9, 130)
+    table = spark.createDataFrame([tuple(1 if x else None for x in row) for row in filled], ", ".join(f"{c} int" for c in many))
+    best = {r.column_qty: r for r in sparsity.best_column_subset(table, many, [1, 2, 3]).collect()}
+    pairs = {c: int((filled[:, c[0]] & filled[:, c[1]]).sum()) for c in combinations(range(130), 2)}
+    assert best[2].complete_rows == max(pairs.values()) and best[2].tried < len(pairs)
+    triple = max(int((filled[:, a] & filled[:, b] & filled[:, c]).sum()) for a, b, c in combinations(range(60, 130), 3))
+    assert best[3].complete_rows >= triple
+    steps = sparsity.greedy_complete_columns(table, many[::-1], 0.7).orderBy("column_qty").collect()
+    kept, rows_left = [], None
+    for c in range(129, -1, -1):
+        n = int(filled[:, [*kept, c]].all(axis=1).sum())
+        if rows_left is None or n >= 0.7 * rows_left:
+            kept.append(c)
+            rows_left = n
+    assert [r.column for r in steps] == [f"c{c}" for c in kept] and steps[-1].complete_rows == rows_left
     greedy = sparsity.greedy_complete_columns(df, ["c", "b", "a"], 0.6)
     assert rows(greedy, "column_qty") == [(1, "c", 48), (2, "b", 32)]
 
