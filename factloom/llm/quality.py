@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import BLANK, WORD, let
+from .common import BLANK, let
 
 RUN = 8                # words in a repeated window
 MAX_LANGUAGES = 256    # bound of what is broadcast: one row per language
 CLASSES = ["lower", "upper", "digit", "blank", "stop", "other"]
 SYMBOLS = r"[^#*$%&|<>]+"
+MARKS = [chr(c) for c in range(0x30, 0x7F)]  # one character per common word
 
 
 def repeat_words(words: Column, run: int = RUN) -> Column:
     """Words inside windows of ``run`` words that occur twice or more in the text, the first time included.
 
-    Windows are compared by 64-bit hashes of their words' hashes. Texts without a repeated window end after one hash
+    ``run`` is a power of two. Windows are compared by 64-bit hashes, put together from those of their halves. Texts without a repeated window end after one hash
     set; for others the windows are sorted, and the places of equal neighbours are merged.
     """
     def covered(places):
@@ -30,13 +31,15 @@ def repeat_words(words: Column, run: int = RUN) -> Column:
             lambda x: x["i"])))
         return let(places, covered)
 
-    def counted(hashes):
-        windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (run - 1)),
-                              lambda i: F.xxhash64(F.slice(hashes, i, run)))
-        return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(repeated(w)))
+    def doubled(hashes, width):
+        if width == run:
+            return let(F.slice(hashes, F.lit(1), F.size(hashes) - (run - 1)), lambda w: F.when(
+                F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(repeated(w)))
+        joined = F.zip_with(hashes, F.slice(hashes, F.lit(1 + width), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+        return let(joined, lambda h: doubled(h, 2 * width))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) <= run, 0).otherwise(let(hashed, counted)).cast("long")
+    return F.when(F.size(words) <= run, 0).otherwise(let(hashed, lambda h: doubled(h, 1))).cast("long")
 
 
 def class_counts(text: Column, rest: Column) -> list[Column]:
@@ -48,9 +51,11 @@ def class_counts(text: Column, rest: Column) -> list[Column]:
     return [n - left - upper, upper, digit, blank, stop, left - digit - blank - stop]
 
 
-def _plain(text: Column) -> Column:
-    """Runs of letters in lower case, each with blanks of its own on both sides."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" "))
+def _marks(text: Column) -> Column:
+    """The common words of a text, in order, as one character each: that of the word's rank."""
+    marks = F.array(*[F.lit(m) for m in MARKS])
+    found = F.regexp_extract_all(F.lower(text), F.col("common_pattern"), F.lit(0))
+    return F.array_join(F.transform(found, lambda w: F.get(marks, F.array_position("common_words", w).cast("int") - 1)), "")
 
 
 def divergence(counts: Column, shares: Column) -> Column:
@@ -79,7 +84,7 @@ def language_references(docs: DataFrame, text: str, lang: str, common: int) -> D
                .select("_lang", F.array(*CLASSES).cast("array<double>").alias("_c"))
                .select("_lang", F.transform("_c", lambda x: x / F.greatest(F.lit(1.0), F.aggregate(
                    "_c", F.lit(0.0), lambda a, b: a + b))).alias("class_shares")))
-    words = rows.select("_lang", F.explode(F.split(F.regexp_replace(F.lower("_text"), r"[^\p{L}]+", " "), " ")).alias("_w"))
+    words = rows.select("_lang", F.explode(F.split(F.lower("_text"), r"[^\p{L}]+")).alias("_w"))
     seen = words.where("_w <> ''").groupBy("_lang", "_w").agg(F.count(F.lit(1)).alias("_n"))
     total = seen.groupBy("_lang").agg(F.sum("_n").alias("_all"))
     order = Window.partitionBy("_lang").orderBy(F.col("_n").desc(), "_w")
@@ -88,7 +93,8 @@ def language_references(docs: DataFrame, text: str, lang: str, common: int) -> D
     joined = top.toDF("_l2", "_top").join(total.toDF("_l3", "_all"), F.expr("_l2 <=> _l3"))
     return classes.join(joined, F.expr("_lang <=> _l2"), "left").select(
         F.col("_lang").alias("ref_lang"), "class_shares",
-        F.transform("_top", lambda x: F.concat(F.lit(" "), x["_w"], F.lit(" "))).alias("common_words"),
+        F.col("_top._w").alias("common_words"), F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(
+            F.col("_top._w"), "|"), F.lit(r")(?!\p{L})")).alias("common_pattern"),
         F.concat(F.transform("_top", lambda x: x["_n"] / F.col("_all")), F.array(
             F.lit(1.0) - F.aggregate("_top", F.lit(0.0), lambda a, x: a + x["_n"] / F.col("_all")))).alias("word_shares"))
 
@@ -104,23 +110,27 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     judged one by one; nothing but the references (one row per language, at most MAX_LANGUAGES, else an
     error) is brought together. Other columns and repeated ids do not matter.
     """
+    if not 0 < common <= len(MARKS):
+        raise ValueError(f"1 to {len(MARKS)} common words")
     if docs.select(lang).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     references = language_references(docs, text, lang, common)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.join(F.broadcast(references), F.expr("_lang <=> ref_lang"), "left")
     rows = rows.withColumn("_rest", F.regexp_replace("_text", r"\p{L}+", "")).withColumn(
-        "_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.regexp_replace(x, BLANK, "")) > 0)
+        "_words", F.array_remove(F.split("_text", BLANK), ""))
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = class_counts(F.col("_text"), F.col("_rest"))
+    marks = F.array(*[F.lit(m) for m in MARKS])
     rows = rows.select(
         "_id", F.size("_words").cast("long").alias("n_words"),
         F.array(*[c.cast("double") for c in counts]).alias("_classes"), "class_shares", "word_shares",
         F.char_length(F.regexp_replace("_rest", SYMBOLS, "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x)))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_words")).alias("n_repeat_words"),
-        let(_plain(F.col("_text")), lambda s: F.transform("common_words", lambda w: (
-            (F.octet_length(s) - F.octet_length(F.replace(s, w, F.lit("")))) / F.octet_length(w)))).alias("_found"))
+        let(_marks(F.col("_text")), lambda s: F.transform(F.slice(marks, F.lit(1), F.size("common_words")), lambda m: (
+            F.octet_length(s) - F.octet_length(F.replace(s, m, F.lit("")))).cast("double"))).alias("_found"))
+    rows = rows.withColumn("_found", F.coalesce("_found", F.array().cast("array<double>")))
     found = F.aggregate("_found", F.lit(0.0), lambda a, b: a + b)
     all_words = F.concat("_found", F.array(F.greatest(F.lit(0.0), F.col("n_words") - found)))
     chars = F.aggregate("_classes", F.lit(0.0), lambda a, b: a + b)
