@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import configure
 from . import exact, language, linededup, mixing, neardup, packing, pseudonyms, quality, shards, tokens, toxicity
-from .common import documents
+from .common import documents, ready
 from .quality_sql import quality_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,9 +20,7 @@ PSEUDONYM_KEY = b"a key for tests only"  # a user passes a secret one
 def register(sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            configure(spark)
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts can be long
-            return fn(spark, folder)
+            return fn(ready(spark), folder)
         QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLES[fn.__name__] = sql
