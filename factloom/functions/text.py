@@ -149,6 +149,9 @@ def padding_mask(arr, pad=0) -> Column:
 
 
 def lookahead_mask(arr) -> Column:
-    """Square 0/1 mask: entry (i, j) is 1 when j lies after i."""
-    steps = F.when(F.size(_col(arr)) > 0, F.sequence(F.lit(1), F.size(_col(arr)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: F.transform(steps, lambda j: F.when(j > i, 1).otherwise(0)))
+    """Number of steps hidden from each step: step i of n (from 1) must not see the n - i that follow.
+
+    The square mask is the rule "j > i"; it is never written out, since its size is the square of the text's length.
+    """
+    n = F.size(_col(arr))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: n - i)).otherwise(F.array().cast("array<int>"))

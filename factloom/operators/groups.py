@@ -140,7 +140,7 @@ def crosstab(df: DataFrame, a: str, b: str, b_values) -> DataFrame:
 def lump_top_n(df: DataFrame, col: str, n: int, other: str = "Other", out: str | None = None) -> DataFrame:
     """Keep the n most frequent levels, write ``other`` for the rest; NULL stays NULL."""
     top = top_n(df, col, n).select(col, F.lit(True).alias("_top"))
-    lumped = df.join(F.broadcast(top), col, "left")  # n rows at most
+    lumped = df.join(top, col, "left")
     text = F.col(col).cast("string")
     kept = F.when(F.col(col).isNull(), text).when(F.col("_top"), text).otherwise(F.lit(other))
     return lumped.withColumn(out or col, kept).drop("_top")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dct_weight, manhattan, standardise_array
@@ -14,6 +16,11 @@ from ..session import cut_lineage
 MAX_BOOK_VALUES = 4_000_000  # 32 MB per task
 
 
+def _vector(col: str):
+    """An array column as a vector, which a summarizer adds up in one row per group."""
+    return array_to_vector(F.col(col).cast("array<double>"))
+
+
 def _collect_by_position(long: DataFrame, by, value: str, out: str) -> DataFrame:
     """(group, pos, value) to one array per group; arrays are as long as a vector."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("_v"))))
@@ -25,11 +32,12 @@ def fit_vector_scaler(*parts: DataFrame, vec: str = "vec") -> DataFrame:
     stacked = parts[0].select(vec)
     for part in parts[1:]:
         stacked = stacked.unionByName(part.select(vec))
-    stats = (stacked.select(F.posexplode(vec).alias("pos", "x")).groupBy("pos")
-             .agg(F.avg(F.col("x").cast("double")).alias("m"), F.stddev_pop(F.col("x").cast("double")).alias("s")))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "m", "s")))
-    return stats.agg(ordered.alias("p")).select(
-        F.transform("p", lambda r: r["m"]).alias("mean"), F.transform("p", lambda r: r["s"]).alias("sd"))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(_vector(vec))
+    stats = stacked.where(F.col(vec).isNotNull()).agg(summary.alias("s"))
+    n = F.col("s.count")
+    spread = F.sqrt((n - 1) / n)  # the summary's variance is that of a sample
+    return stats.select(vector_to_array("s.mean").alias("mean"), F.transform(
+        vector_to_array("s.variance"), lambda v: F.sqrt(F.greatest(v, F.lit(0.0))) * spread).alias("sd"))
 
 
 def standardise_vectors(df: DataFrame, scaler: DataFrame, vec: str = "vec") -> DataFrame:
@@ -66,14 +74,14 @@ def embed_by_lookup(df: DataFrame, key: str, tokens: str, vectors: DataFrame, wo
         found = entity_windows(found, [key], ["_tpos"], seq="_seq")
         found = attach_aggregates(found, [key], {"_n": F.count(F.lit(1))})
         weights = F.array(*[dct_weight(F.col("_seq") - 1, F.greatest(F.col("_n"), F.lit(k)), j) for j in range(k)])
-        spread = found.select(key, vec, F.posexplode(weights).alias("_k", "_w"))
-        long = (spread.select(key, "_k", "_w", F.posexplode(vec).alias("_d", "x"))
-                .groupBy(key, "_k", "_d").agg(F.sum(F.col("x").cast("double") * F.col("_w")).alias("v"))
-                .withColumn("pos", F.struct("_k", "_d")))
+        parts = found.select(key, vec, F.posexplode(weights).alias("_k", "_w"))
+        scaled = parts.select(key, "_k", F.transform(vec, lambda x: x * F.col("_w")).alias("_v"))
+        sums = scaled.groupBy(key, "_k").agg(Summarizer.sum(_vector("_v")).alias("_s"))
+        joined = F.array_sort(F.collect_list(F.struct("_k", vector_to_array("_s").alias("_v"))))  # k arrays
+        means = sums.groupBy(key).agg(F.flatten(F.transform(joined, lambda p: p["_v"])).alias(out))
     else:
-        long = (found.select(key, F.posexplode(vec).alias("pos", "x"))
-                .groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("v")))
-    return df.join(_collect_by_position(long, [key], "v", out), key, "left")
+        means = found.groupBy(key).agg(Summarizer.mean(_vector(vec)).alias("_s")).select(key, vector_to_array("_s").alias(out))
+    return df.join(means, key, "left")
 
 
 def _matrix(rows, field: str) -> np.ndarray:
@@ -124,9 +132,8 @@ def update_codebook(state: DataFrame, assigned: DataFrame, decay: float = 0.99,
     ``state``: code, ema_count, ema_sum; codewords without new members decay as well.
     """
     counts = assigned.groupBy(code).agg(F.count(F.lit(1)).alias("_n"))
-    sums = (assigned.select(code, F.posexplode(vec).alias("pos", "x"))
-            .groupBy(code, "pos").agg(F.sum(F.col("x").cast("double")).alias("v")))
-    batch = counts.join(_collect_by_position(sums, [code], "v", "_sum"), code)
+    sums = assigned.groupBy(code).agg(Summarizer.sum(_vector(vec)).alias("_s"))
+    batch = counts.join(sums.select(code, vector_to_array("_s").alias("_sum")), code)
     keep, gain = F.lit(decay), F.lit(1 - decay)
     new_sum = F.when(F.col("_sum").isNull(), F.transform("ema_sum", lambda x: keep * x)).otherwise(
         F.zip_with("ema_sum", "_sum", lambda old, new: keep * old + gain * new))
