@@ -73,7 +73,7 @@ def _signatures(k: int, bands: int, rows: int):
         for batch in batches:
             texts = batch["_text"].tolist()
             out = []
-            for low, high in chunks([0 if t is None else len(t) for t in texts], 1 << 21):
+            for low, high in chunks([0 if t is None else len(t) for t in texts], 1 << 19):
                 hashes, bounds = word_hashes(texts[low:high])
                 place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
                 spread = [mixed(hashes + (place + 1).astype(np.uint64) * np.uint64(c)) for c in (_STEP, 0xC2B2AE3D27D4EB4F)]
@@ -98,7 +98,7 @@ def _stored(k: int):
     def run(batches):
         for batch in batches:
             texts, out = batch["_text"].tolist(), []
-            for low, high in chunks([0 if t is None else len(t) for t in texts], 1 << 21):
+            for low, high in chunks([0 if t is None else len(t) for t in texts], 1 << 19):
                 hashes, bounds = word_hashes(texts[low:high])
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     element, weight = weighted_shingles(hashes[a:b], k)
@@ -149,9 +149,9 @@ def _across(least: float, agree: int):
 def _verified(least: float):
     def run(batches):
         for batch in batches:
-            read = [[np.frombuffer(v, dtype=kind) for v in batch[c]] for c, kind in
-                    (("ea", np.uint64), ("wa", "<f4"), ("eb", np.uint64), ("wb", "<f4"))]
-            value = np.array([probability_jaccard(a, x.astype(float), b, y.astype(float)) for a, x, b, y in zip(*read)])
+            value = np.array([probability_jaccard(*(np.frombuffer(v, dtype=kind).astype(kind if kind is np.uint64 else float)
+                                                    for v, kind in zip(row, (np.uint64, "<f4", np.uint64, "<f4"))))
+                              for row in zip(batch["ea"], batch["wa"], batch["eb"], batch["wb"])])
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": value >= least - 1e-9})
     return run
 

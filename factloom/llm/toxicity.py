@@ -278,7 +278,7 @@ def text_scores(model: dict, bodies: list[str | None]) -> np.ndarray:
     """Probability of label 1 for each text from its highest window; 0 for a text without words."""
     out = np.zeros(len(bodies))
     sizes = [0 if t is None else len(t) for t in bodies]
-    for low, high in chunks(sizes, 1 << 21):
+    for low, high in chunks(sizes, 1 << 19):
         texts = Texts(bodies[low:high])
         text, first, end = texts.windows()
         if not len(first):
