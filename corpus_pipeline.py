@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm import exact, mixing, neardup, packing, tokens, toxicity
-from factloom.llm.common import documents, saved
+from factloom.llm.common import documents, ready, saved
 from factloom.llm.queries import tokenizer_path
-from factloom.session import configure
 
 BLOCK_WORDS = 512
 
 
-def _ready(spark: SparkSession) -> None:
-    configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts can be long
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, taught by the labels, does not score 0.5 or more."""
-    _ready(spark)
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     may_learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     return toxicity.toxicity_scores(docs, labels, may_learn).where("predicted = 0").select(docs.columns)
@@ -27,26 +21,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    _ready(spark)
+    ready(spark)
     return exact.distinct_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    _ready(spark)
+    ready(spark)
     return neardup.one_of_each_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents and parts of documents that a mix of the sources takes, once per pass."""
-    _ready(spark)
+    ready(spark)
     rows, spans = mixing.source_mix(docs, block_words=BLOCK_WORDS)
     return mixing.mixed_documents(docs, rows, spans)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequence and place in it."""
-    _ready(spark)
+    ready(spark)
     return packing.pack_pieces(tokens.token_pieces(docs, tokenizer_path()))
 
 
@@ -58,7 +52,7 @@ ORACLE_SQL = None  # a trained network, near duplicates and a genetic search are
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each works on the saved table of the one before."""
-    _ready(spark)
+    ready(spark)
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
