@@ -39,15 +39,16 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, few_files: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again: computed once, survives lost executors.
 
-    At most four tasks per core write, each the partitions of several tasks in turn, so that small tables do not come in
-    many files; the number grows with the cluster.
+    ``few_files`` is for narrow tables that loops write again and again: at most four tasks per core write, each the
+    partitions of several tasks in turn; the number grows with the cluster.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.coalesce(4 * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few_files else df
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

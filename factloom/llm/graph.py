@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Neighbours are only reduced to their minimum, never gathered, and the number of rounds grows with the logarithm of
     the longest path. Every round is a saved table. Links of a node to itself and repeated links do no harm.
     """
-    edges = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
+    edges = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), few_files=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (both.join(_min_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("_least").alias("v"))
@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         least = _min_neighbour(down)
         small = (down.join(least, "u").select(F.col("v").alias("u"), F.col("_least").alias("v"))
                  .unionByName(least.select("u", F.col("_least").alias("v"))).where("u <> v").distinct())
-        edges = saved(small)
+        edges = saved(small, few_files=True)
         # done when every edge leads from a member straight to its smallest node
         roots = edges.select(F.col("v").alias("u")).distinct()
         if (edges.join(roots, "u", "left_semi").isEmpty()

@@ -209,7 +209,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
                     & F.expr(f"size(filter(zip_with(_sa, _sb, (x, y) -> x = y), x -> x)) >= {agree}"))
              .select(F.least("_na", "_nb").alias("a"), F.greatest("_na", "_nb").alias("b")).distinct())
     links = confirmed(stars)
-    parts = saved(components(links))
+    parts = saved(components(links), few_files=True)
 
     # the rest of the buckets that hold several components
     at = (buckets.select("key", "node").join(parts, "node", "left")
@@ -229,7 +229,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
              .select("key", "node", "part", "minor", "_t.*"))
     loaded = tasks.join(sketches.select("node", "bands", "short").join(shingles.select("node", "halves", "half_weights"), "node"), "node")
     others = saved(loaded.groupBy("key", "i", "j").applyInPandas(_across(least, agree), "a long, b long").distinct())
-    parts = saved(components(links.unionByName(confirmed(others))))
+    parts = saved(components(links.unionByName(confirmed(others))), few_files=True)
     members = signed.select("_id", "_hash", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
     return members.select("_id", "_hash", "node"), parts
 
