@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-CACHED_WORDS = 700_000  # per Python worker, about 150 bytes each
+CACHED_WORDS = 1_000_000  # per Python worker, about 150 bytes each
 ASCII_LETTERS, STOPS = frozenset(b"abcdefghijklmnopqrstuvwxyz"), frozenset(b",.")
 
 
