@@ -26,6 +26,12 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<!\d)(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<wide>[ -])\d{6}(?P=wide)\d{5})(?!\d))")
 
+IBAN_LENGTHS = {country: int(length) for length, countries in {
+    "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG",
+    "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV",
+    "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for country in countries.split()}
+
 KINDS = [k for k in PATTERN.groupindex if k not in ("mark", "gap", "wide")]
 
 
@@ -175,22 +181,41 @@ def pseudonym(kind: str, value: str, permute) -> str | None:
     raise ValueError(kind)
 
 
-def pseudonymise(text: str, permute) -> tuple[str, int]:
-    """The text with every valid value replaced, and how many were."""
-    found = 0
+def _iban(value: str, permute) -> tuple[str, str] | None:
+    """The IBAN that a match begins with, and its pseudonym.
 
-    def put(match):
-        nonlocal found
-        kind = next(k for k in KINDS if match.group(k) is not None)
-        new = pseudonym(kind, match.group(), permute)
-        if new is None:
-            return match.group()
-        found += 1
-        return new
+    A match runs on into capitals and digits behind the IBAN. Tried are the beginnings that end before a blank or with the
+    match: the one of the country's length, then the whole, and for countries not in the table all, the longest first.
+    """
+    ends = [i for i, c in enumerate(value) if c == " "] + [len(value)]
+    length = IBAN_LENGTHS.get(value[:2])
+    tried = [e for e in ends if e - value.count(" ", 0, e) == length] + [len(value)] if length else ends[::-1]
+    for end in tried:
+        new = pseudonym("iban", value[:end], permute)
+        if new is not None:
+            return value[:end], new
+    return None
 
+
+def pseudonymise(text: str, permute) -> tuple[str, int]:
+    """The text with every valid value replaced, and how many were."""
     if not any(c in text for c in "@0123456789"):
         return text, 0
-    return PATTERN.sub(put, text), found
+    out, done, start, found = [], 0, 0, 0
+    while match := PATTERN.search(text, start):
+        kind = next(k for k in KINDS if match.group(k) is not None)
+        value = match.group()
+        if kind == "iban":
+            value, new = _iban(value, permute) or (value, None)
+        else:
+            new = pseudonym(kind, value, permute)
+        if new is None:  # other values may begin inside the match
+            start = match.start() + 1
+            continue
+        out += [text[done:match.start()], new]
+        done = start = match.start() + len(value)
+        found += 1
+    return "".join(out) + text[done:], found
 
 
 def pseudonymised(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

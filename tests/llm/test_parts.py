@@ -143,6 +143,22 @@ def test_pseudonyms_in_texts():
     assert pseudonyms.pseudonymise(text, pseudonyms.Permutation(b"other"))[0] != new
 
 
+def test_ibans_end_before_the_next_word():
+    permute = pseudonyms.Permutation(b"key")
+    iban, card, iso = "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "2024-05-01"
+    new = pseudonyms.pseudonym("iban", iban, permute)
+    moved = {v: pseudonyms.pseudonym(k, v, permute) for k, v in (("card", card), ("iso", iso))}
+    for text, want, n in [("DE89370400440532013000 I said", new.replace(" ", "") + " I said", 1),
+                          (f"{iban} {iso}", f"{new} {moved[iso]}", 2), (f"{iban} BIC DEUTDEFF", f"{new} BIC DEUTDEFF", 1),
+                          (f"{iban} {iban}.", f"{new} {new}.", 2),
+                          (f"AB12 {iban}", f"AB12 {new}", 1), (f"DE12 3456 7890 1234 {card}", f"DE12 3456 7890 1234 {moved[card]}", 1),
+                          (f"DE12 A3456789012 {iso}", f"DE12 A3456789012 {moved[iso]}", 1)]:
+        assert pseudonyms.pseudonymise(text, permute) == (want, n)
+    uk = "GB82 WEST 1234 5698 7654 32"
+    assert pseudonyms.pseudonymise(f"{uk} {card}", permute) == (f"{pseudonyms.pseudonym('iban', uk, permute)} {moved[card]}", 2)
+    assert pseudonyms.pseudonymise("DE89 3704 0044 0532 0130 01 I", permute) == ("DE89 3704 0044 0532 0130 01 I", 0)
+
+
 def test_packings_hold_every_piece_once():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 90, 300).tolist()
