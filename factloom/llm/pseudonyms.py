@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from datetime import date, timedelta
 from functools import lru_cache
 from hashlib import blake2b
@@ -24,6 +25,7 @@ PATTERN = re.compile(
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<!\d)(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d))"
+    r"|(?P<intl>(?<![\w+])\+[1-9](?:[ .-]?(?:\(\d{1,4}\)|\d)){4,14}(?!\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<wide>[ -])\d{6}(?P=wide)\d{5})(?!\d))")
 
 IBAN_LENGTHS = {country: int(length) for length, countries in {
@@ -32,6 +34,13 @@ IBAN_LENGTHS = {country: int(length) for length, countries in {
     "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV",
     "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU"}.items() for country in countries.split()}
 
+COUNTRY_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 "
+                    "91 92 93 94 95 98".split())  # all others have three digits
+NUMBER_LENGTHS = {"1": 10, "7": 10, "27": 9, "30": 10, "31": 9, "33": 9, "34": 9, "40": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9,
+                  "52": 10, "61": 9, "90": 10, "91": 10, "351": 9, "420": 9, "421": 9}  # digits behind the code, where nearly all have as many
+
+TRUNK = re.compile(r"[ .-]?\(0\)")
+
 KINDS = [k for k in PATTERN.groupindex if k not in ("mark", "gap", "wide")]
 
 
@@ -120,14 +129,40 @@ def _date(year: int, month: int, day: int) -> date | None:
     return found if FIRST_DAY <= found <= LAST_DAY else None
 
 
+_DAYS = [FIRST_DAY + timedelta(i) for i in range((LAST_DAY - FIRST_DAY).days + 1)]
+DAYS = {late: [d for d in _DAYS if (d.day > 12) == late] for late in (False, True)}
+
+
 def _moved(found: date, permute) -> date:
-    return FIRST_DAY + timedelta(permute("date", (LAST_DAY - FIRST_DAY).days + 1, (found - FIRST_DAY).days))
+    """Another date; behind the 12th of a month only if ``found`` is, so that a day/month date stays one and can go back."""
+    days = DAYS[found.day > 12]
+    return days[permute(f"date{int(found.day > 12)}", len(days), bisect_left(days, found))]
+
+
+def _country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRY_CODES), digits[:3])
+
+
+def _intl(value: str, permute) -> str | None:
+    """The pseudonym of a number with + and country code, which stays as a (0) behind it does."""
+    plain = "".join(c for c in value if c.isdigit())
+    code, i, seen = _country_code(plain), 0, 0
+    while seen < len(code):
+        i, seen = i + 1, seen + value[i].isdigit()
+    trunk = TRUNK.match(value, i)
+    i = trunk.end() if trunk else i
+    rest = "".join(c for c in value[i:] if c.isdigit())
+    if not 8 <= len(code + rest) <= 15:
+        return None
+    kind = "phone" if code == "1" and len(rest) == 10 else f"phone{code}"
+    return value[:i] + _refill(value[i:], permuted_text(kind, rest, permute))
 
 
 def pseudonym(kind: str, value: str, permute) -> str | None:
     """The pseudonym of a value, or None if it is not valid in its format.
 
-    Equal values have equal pseudonyms in any spelling of separators; pseudonyms are valid in turn (check digits,
+    Equal values have equal pseudonyms in any spelling of separators. Dates with slashes are month/day, and day/month where
+    that is not a day; the order stays. Pseudonyms are valid in turn (check digits,
     octets, calendar days from 1900 to 2099).
     """
     plain = "".join(c for c in value if c.isalnum())
@@ -143,6 +178,8 @@ def pseudonym(kind: str, value: str, permute) -> str | None:
         return _refill(value, plain[:2] + iban_check(plain[:2], account) + account)
     if kind == "phone":
         return _refill(value, plain[:-10] + permuted_text("phone", plain[-10:], permute))
+    if kind == "intl":
+        return _intl(value, permute)
     if kind == "ssn":
         area, group, serial = int(plain[:3]), int(plain[3:5]), int(plain[5:])
         if area in (0, 666) or area > 899 or not group or not serial:
@@ -165,11 +202,12 @@ def pseudonym(kind: str, value: str, permute) -> str | None:
     if kind == "day":
         mark = "." if "." in value else "/"
         a, b, year = (int(x) for x in value.split(mark))
-        found = _date(year, b, a) if mark == "." else _date(year, a, b)  # 31.12.1999, 12/31/1999
+        by_month = mark == "/" and _date(year, a, b)  # 12/31/1999, else 31.12.1999 or 31/12/1999
+        found = by_month or _date(year, b, a)
         if found is None:
             return None
         to = _moved(found, permute)
-        first, second = (to.day, to.month) if mark == "." else (to.month, to.day)
+        first, second = (to.month, to.day) if by_month else (to.day, to.month)
         return f"{first:02d}{mark}{second:02d}{mark}{to.year:04d}"
     if kind == "access":
         return value[:4] + permuted_text("access", value[4:], permute, lambda c: CAPITALS + DIGITS)
@@ -197,8 +235,29 @@ def _iban(value: str, permute) -> tuple[str, str] | None:
     return None
 
 
+def _number(value: str, behind, permute) -> tuple[str, str] | None:
+    """The telephone number that a match begins with, and its pseudonym.
+
+    A match runs on into digits behind the number. It ends where it has the country's number of digits, at a blank or the
+    match's end, else before a blank with a valid value of another kind ``behind`` it.
+    """
+    def digits(end):
+        return "".join(c for c in value[:end].replace("(0)", "") if c.isdigit())
+
+    blanks, code = [i for i, c in enumerate(value) if c == " "], _country_code(digits(None))
+    fits = (e for e in blanks + [len(value)] if len(digits(e)) - len(code) == NUMBER_LENGTHS.get(code))
+    value = value[:next(fits, None) or next((e for e in blanks if behind(e + 1)), None)]
+    new = pseudonym("intl", value, permute)
+    return new and (value, new)
+
+
 def pseudonymise(text: str, permute) -> tuple[str, int]:
     """The text with every valid value replaced, and how many were."""
+    def valid_at(place):
+        other = PATTERN.match(text, place)
+        kind = other and next(k for k in KINDS if other.group(k) is not None)
+        return kind not in (None, "phone") and pseudonym(kind, other.group(), permute) is not None
+
     if not any(c in text for c in "@0123456789"):
         return text, 0
     out, done, start, found = [], 0, 0, 0
@@ -207,6 +266,8 @@ def pseudonymise(text: str, permute) -> tuple[str, int]:
         value = match.group()
         if kind == "iban":
             value, new = _iban(value, permute) or (value, None)
+        elif kind == "intl":
+            value, new = _number(value, lambda i: valid_at(match.start() + i), permute) or (value, None)
         else:
             new = pseudonym(kind, value, permute)
         if new is None:  # other values may begin inside the match
@@ -223,7 +284,8 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     Card numbers (Luhn), IBANs (check digits), social security numbers, telephone numbers, IPv4 addresses, dates, e-mail
     names, access keys and hexadecimal secrets are found in whole texts; numbers that are not valid in their format
-    stay. Each is permuted within its format under ``key``, so equal values stay equal across documents and whoever
+    stay. Telephone numbers are 3-3-4 digits with separators, or + and country code with 8 to 15 digits in all; others
+    (5551234567, 0044 20 7946 0958, 020 7946 0958) stay. Dates are numeric, from 1900 to 2099. Each is permuted within its format under ``key``, so equal values stay equal across documents and whoever
     has the key can go back. Null stays null with 0 values; empty texts, repeated rows and other columns are left as they
     are. Rows are rewritten one by one without a shuffle.
     """

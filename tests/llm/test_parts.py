@@ -159,6 +159,41 @@ def test_ibans_end_before_the_next_word():
     assert pseudonyms.pseudonymise("DE89 3704 0044 0532 0130 01 I", permute) == ("DE89 3704 0044 0532 0130 01 I", 0)
 
 
+def test_day_month_dates_go_back():
+    permute = pseudonyms.Permutation(b"key")
+    for year, month, day in [(1999, 12, 31), (2023, 12, 25), (1900, 1, 13), (2099, 10, 31)]:
+        text = f"{day:02d}/{month:02d}/{year}"
+        iso = pseudonyms.pseudonym("iso", f"{year}-{month:02d}-{day:02d}", permute)
+        new = pseudonyms.pseudonymise(text, permute)
+        assert new == (f"{iso[8:]}/{iso[5:7]}/{iso[:4]}", 1) and iso[8:] > "12" and new[0] != text
+    assert pseudonyms.pseudonymise("31/13/1999 30/02/2000", permute)[1] == 0
+    days = [f"{d}/{m}/2024" for d in range(1, 32) for m in range(1, 32)]
+    moved = [x for d in days if (x := pseudonyms.pseudonym("day", d, permute))]
+    assert len(moved) == len(set(moved)) == 366 + sum(1 for d in range(13, 32) for m in range(1, 13) if pseudonyms._date(2024, m, d))
+
+
+def test_international_numbers():
+    permute = pseudonyms.Permutation(b"key")
+    card, iso, us = "4111 1111 1111 1111", "2024-05-01", "12/31/1999"
+    moved = {v: pseudonyms.pseudonym(k, v, permute) for k, v in (("card", card), ("iso", iso), ("day", us))}
+    numbers = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 901820", "+34 912 345 678", "+44 (0)20 7946 0958", "+442079460958",
+               "+33.1.23.45.67.89", "+49 (30) 901820", "+353 1 234 5678", "+1 9885552485"]
+    new = {v: pseudonyms.pseudonym("intl", v, permute) for v in numbers}
+    for v in numbers:
+        assert pseudonyms.pseudonymise(f"call {v}, or", permute) == (f"call {new[v]}, or", 1)
+        assert new[v][:3] == v[:3] and new[v] != v and ["0" if c.isdigit() else c for c in new[v]] == ["0" if c.isdigit() else c for c in v]
+        for other in moved:
+            assert pseudonyms.pseudonymise(f"{v} {other}", permute) == (f"{new[v]} {moved[other]}", 2)
+        assert pseudonyms.pseudonymise(f"{v} {v}", permute) == (f"{new[v]} {new[v]}", 2)
+    assert new["+44 20 7946 0958"].replace(" ", "") == new["+442079460958"] == new["+44 (0)20 7946 0958"].replace("(0)", "").replace(" ", "")
+    assert new["+1 9885552485"][-10:] == pseudonyms.pseudonym("phone", "988-555-2485", permute).replace("-", "")
+    assert pseudonyms.pseudonymise("+34 912 345 678 12 apples", permute) == (new["+34 912 345 678"] + " 12 apples", 1)
+    assert pseudonyms.pseudonymise("+34 912 345 678/679", permute) == (new["+34 912 345 678"] + "/679", 1)
+    assert pseudonyms.pseudonymise("+45 12.34.56.78", permute) == (pseudonyms.pseudonym("intl", "+45 12.34.56.78", permute), 1)
+    clean = "+5 to +12, +1 234, 5551234567 and 1+23456789"
+    assert pseudonyms.pseudonymise(clean, permute) == (clean, 0)
+
+
 def test_packings_hold_every_piece_once():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 90, 300).tolist()
