@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import BLANK, let
 
 RUN = 8                # words in a repeated window
-MAX_LANGUAGES = 256    # bound of what is broadcast: one row per language
+MAX_LANGUAGES = 256    # up to so many rows of references, one per language, are broadcast
 CLASSES = ["lower", "upper", "digit", "blank", "stop", "other"]
 SYMBOLS = r"[^#*$%&|<>]+"
 MARKS = [chr(c) for c in range(0x30, 0x7F)]  # one character per common word
@@ -107,16 +107,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: st
     the base rules pass and neither distance from its language's reference is above its limit. The class distance is
     judged from ``least_chars`` characters on, the word distance from ``least_words`` words on; shorter texts pass.
     Null texts count as empty: no words, so the base rules fail. Null ``lang`` is a language of its own. Rows are
-    judged one by one; nothing but the references (one row per language, at most MAX_LANGUAGES, else an
-    error) is brought together. Other columns and repeated ids do not matter.
+    judged one by one; nothing but the references (one row per language) is brought together. They are broadcast
+    up to MAX_LANGUAGES, above that Spark decides how they are joined. Other columns and repeated ids do not matter.
     """
     if not 0 < common <= len(MARKS):
         raise ValueError(f"1 to {len(MARKS)} common words")
-    if docs.select(lang).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     references = language_references(docs, text, lang, common)
+    if docs.select(lang).distinct().limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:
+        references = F.broadcast(references)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.join(F.broadcast(references), F.expr("_lang <=> ref_lang"), "left")
+    rows = rows.join(references, F.expr("_lang <=> ref_lang"), "left")
     rows = rows.withColumn("_rest", F.regexp_replace("_text", r"\p{L}+", "")).withColumn(
         "_words", F.array_remove(F.split("_text", BLANK), ""))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -257,6 +257,14 @@ def test_quality_finds_noise(spark):
     assert not got[900].kept and sum(not r.kept for i, r in got.items() if not r.base_failed) == 1
 
 
+def test_quality_of_many_languages(spark, monkeypatch):
+    rows = [(i, f"w{i} " * 30 + "stone tree river light " * 10, f"l{i % 300}" if i % 7 else None, "a") for i in range(700)]
+    got = {r.doc_id: r for r in quality.judged(frame(spark, rows)).collect()}
+    assert len(got) == 700 and all(r.word_distance is not None for r in got.values())
+    monkeypatch.setattr(quality, "MAX_LANGUAGES", 1000)
+    assert {r.doc_id: r for r in quality.judged(frame(spark, rows)).collect()} == got
+
+
 def test_lines(spark, odd):
     passage = " ".join(f"p{i}" for i in range(60))
     half = "\n".join(" ".join(f"q{j}{i}" for i in range(30)) for j in range(3))
