@@ -39,6 +39,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """Path of a folder that does not exist yet, in the shared checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, few_files: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again: computed once, survives lost executors.
 
@@ -46,7 +51,7 @@ def saved(df: DataFrame, few_files: bool = False) -> DataFrame:
     partitions of several tasks in turn; the number grows with the cluster.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few_files else df
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, language, linededup, mixing, neardup, packing, pseudonyms, quality, shards, tokens, toxicity
-from .common import documents, ready
+from . import alignment, exact, language, linededup, manifest, mixing, neardup, packing, patched, pseudonyms, quality, shards, tokens, toxicity
+from .common import documents, fresh_folder, ready
+from .manifest_sql import manifest_sql
 from .quality_sql import quality_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,9 +29,9 @@ def register(sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,3 +106,20 @@ def op7_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op9_winnowed_lines(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_report(documents(spark, folder))
+
+
+@register()
+def op11_patched_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark)
+    patched.write_token_files(documents(spark, folder), path, tokenizer_path("byte_bpe_50k.json"))
+    return patched.read_token_files(spark, path).drop("file")
+
+
+@register(manifest_sql())
+def op12_butterfly_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.tamper_report(documents(spark, folder))
+
+
+@register()
+def op13_pointer_jumping(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_report(documents(spark, folder), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
