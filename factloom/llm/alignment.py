@@ -81,7 +81,8 @@ def _merged(parts):
     owner, key, links = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*parts) if parts else ([], [], [])))
     if not len(key):
         return owner, key, links
-    order = np.lexsort((key, owner))
+    wide = owner << 34 | key >> 32 << 17 | key & 0xFFFFFFFF  # in one number where both vocabularies have fewer than 2^17 ids
+    order = np.argsort(wide) if int((key | key >> 32 & 0xFFFFFFFF).max() & 0xFFFFFFFF) < 1 << 17 and int(owner.max()) < 1 << 29 else np.lexsort((key, owner))
     owner, key, links = owner[order], key[order], links[order]
     new = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))
     return owner[new], key[new], np.add.reduceat(links, np.flatnonzero(new))

@@ -78,15 +78,14 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     starts, n = starts.astype(np.int64), len(starts)
     low = np.ascontiguousarray(data[starts[:, None] + np.arange(4)]).view("<u4").reshape(n).astype(np.int64)
     width, count, part = (data[starts + k].astype(np.int64) for k in (4, 5, 6))
-    out = np.zeros((n, BLOCK), dtype=np.int64)
+    out, data = np.zeros((n, BLOCK), dtype=np.uint32), np.append(data, np.zeros(4, dtype=np.uint8))
     for w in np.unique(width[width > 0]):
-        rows = np.flatnonzero(width == w)
-        packed = data[(starts[rows] + FIXED)[:, None] + np.arange(BLOCK // 8 * w)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        whole = np.packbits(bits, axis=2, bitorder="little")
-        wide = np.zeros((len(rows), BLOCK, 4), dtype=np.uint8)
-        wide[:, :, :whole.shape[2]] = whole
-        out[rows] = wide.view("<u4").reshape(len(rows), BLOCK)
+        rows, bit = np.flatnonzero(width == w), np.arange(BLOCK) * w
+        packed = data[(starts[rows] + FIXED)[:, None] + np.arange(BLOCK // 8 * w + 4)]
+        found = np.zeros((len(rows), BLOCK), dtype=np.uint64 if w > 25 else np.uint32)
+        for j in range((int(w) + 14) // 8):  # bytes that a number may lie in
+            found |= packed[:, (bit >> 3) + j].astype(found.dtype) << found.dtype.type(8 * j)
+        out[rows] = found >> (bit & 7).astype(found.dtype) & found.dtype.type((1 << int(w)) - 1)
     block = np.repeat(np.arange(n), count)
     rank = np.arange(len(block)) - (np.cumsum(count) - count)[block]
     first = starts[block] + FIXED + BLOCK // 8 * width[block]
@@ -94,8 +93,9 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for j in range(4):
         has = part[block] > j
         high[has] |= data[(first + count[block] + rank * part[block] + j)[has]].astype(np.int64) << 8 * j
-    out[block, data[first + rank]] |= high << width[block]
-    return (out + low[:, None]).astype("<u4").reshape(-1)
+    out[block, data[first + rank]] |= (high << width[block]).astype(np.uint32)
+    out += low[:, None].astype(np.uint32)
+    return out.astype("<u4", copy=False).reshape(-1)
 
 
 def segment(keys: list[str | None], ids: list[bytes], covered: float = 0.9) -> bytes:

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import re
+from array import array
+from sys import byteorder
 
 import numpy as np
 
-CACHED_CHUNKS = 300_000  # per tokenizer and Python worker, about 200 bytes each
+CACHED_CHUNKS = 600_000  # per dictionary and Python worker, about 200 bytes each
 BAD = 0xFFFFFFFF  # stands for a chunk whose tokens do not spell it
 
 # A blank after something else than white space always starts a new piece in both vocabularies. Texts with white space
 # after a blank, a blank at the end or what may be a special token are encoded as a whole.
-HARD = re.compile(r" (?:[\s᠎▁]|$)|<\||▁ ")
+HARD = re.compile(r" (?:[\s\u180e\u2581]|$)|<\||\u2581 ")
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+WORD = re.compile(f"[{LATIN}]+")
+SIGNS = r"!-&(-/:-@\[-`{-~"  # punctuation other than the apostrophe
+
+
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -22,14 +34,29 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Chunks(dict):
-    """Chunk (a blank and what follows it, written without the blank) -> its ids as little-endian 32-bit numbers."""
+    """Chunk of a text -> its ids as little-endian 32-bit numbers; a chunk of ``later`` stands behind a blank.
 
-    def __init__(self, encoder, blank: str):
+    Tokens join neither lines nor letters and the punctuation behind them, so such chunks are put together from their parts.
+    """
+
+    def __init__(self, encode, signs: str, first: Chunks | None = None):
         super().__init__()
-        self.encoder, self.blank = encoder, blank
+        self.encode, self.first = encode, self if first is None else first
+        self.signed = re.compile(f"([{LATIN}]+)([{signs}][{SIGNS}]*)") if signs else re.compile("(?!)")
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.encoder(self.blank + chunk)
+        if chunk.isalpha():
+            found = self.encode(chunk)
+        elif signed := self.signed.fullmatch(chunk):
+            found = self[signed[1]] + self.first[signed[2]]
+        elif "\n" in chunk and chunk != "\n":
+            parts = chunk.split("\n")
+            if not all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+                return self.encode(chunk)
+            line = self.first["\n"]
+            return self[parts[0]] + b"".join([line + self.first[p] for p in parts[1:]])
+        else:
+            found = self.encode(chunk)
         if len(self) < CACHED_CHUNKS:
             self[chunk] = found
         return found
@@ -42,12 +69,20 @@ class ByteLevel:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.first, self.later = Chunks(self.whole, ""), Chunks(self.whole, " ")
+        self.merges, self.signs = self.tokenizer.model, {b: c for c, b in byte_alphabet().items()}
+        self.first = Chunks(self.chunk, SIGNS)
+        self.later = Chunks(lambda c: self.chunk(" " + c), SIGNS, self.first)
         self._entries: list[bytes] | None = None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def chunk(self, chunk: str) -> bytes:
+        """Letters, with or without a blank before them, are one piece of the pre-tokenizer and go straight to the merges."""
+        if WORD.fullmatch(chunk, chunk[0] == " "):
+            return packed([t.id for t in self.merges.tokenize(chunk.encode().decode("latin-1").translate(self.signs))])
+        return self.whole(chunk)
+
     def ids(self, text: str) -> bytes:
         """Ids of a text, equal to those of encoding it as a whole."""
         if HARD.search(text):
@@ -70,24 +105,35 @@ class Pieces:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
         self.model = SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        self._entries = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-                         for i, p in ((i, self.model.id_to_piece(i)) for i in range(size))]
-        self.later = Chunks(self.checked, "")
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self._entries = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(names)]
+        # merges only make pieces of the model, so text comes apart between signs that no piece has side by side
+        joined = {m[1] for p in names for m in re.finditer(f"(?<=[{LATIN}])(?=([{SIGNS}]))", p)}
+        signs = "".join("\\" + c for c in map(chr, range(33, 127)) if re.match(f"[{SIGNS}]", c) and c not in joined)
+        self.apart = not any("\n" in p for p in names)
+        self.line = self.model.encode("\n")
+        first = Chunks(self.inner, signs)
+        self.later = Chunks(self.checked, signs, first)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, num_threads=1), dtype="<u4").tobytes()
 
+    def spelt(self, ids: list[int], text: str) -> bytes:
+        if b"".join([self._entries[i] for i in ids]) != text.encode("utf-8", "replace"):
+            ids = [BAD]
+        return packed(ids)
+
     def checked(self, text: str) -> bytes:
         """Ids of a text, or one BAD if they do not spell a blank and the text."""
-        ids = self.model.encode(text, num_threads=1)
-        if b"".join([self._entries[i] for i in ids]) != b" " + text.encode():
-            ids = [BAD]
-        return np.array(ids, dtype="<u4").tobytes()
+        return self.spelt(self.model.encode(text, num_threads=1), " " + text)
+
+    def inner(self, text: str) -> bytes:
+        """Ids of what follows a newline or letters, without a blank before it."""
+        return self.spelt(self.model.encode("\n" + text, num_threads=1)[len(self.line):], text)
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as ``checked`` gives them for the whole, with a BAD where a chunk is not spelt."""
-        if HARD.search(" " + text):
+        if not self.apart or HARD.search(" " + text):
             return self.checked(text)
         return b"".join(map(self.later.__getitem__, text.split(" ")))
 
