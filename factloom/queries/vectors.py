@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx, vectors as vx
 from ..operators import groups, sampling
-from ..stats import errors, pairs, tests, vectors as vs
+from ..stats import density, errors, neighbours, pairs, tests, vectors as vs
 from .base import query, round_columns, rounded
 from .filings import _h
 
@@ -273,3 +273,63 @@ def batch_errors(t):
     def scored(df):
         return vs.pca_errors(df.select("row_id", F.array(*cols).alias("v")), model, "v")
     return errors.compare_batches(scored(e), scored(fake), "row_id", "error", 50)
+
+
+K = 10
+
+
+@query(f"""WITH d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS INTEGER) AS rank, neighbour, round(d, 6) AS distance FROM d
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) <= {K}""")
+def nearest_neighbours(t):
+    """The ten nearest other vectors of every vector."""
+    return neighbours.nearest_neighbours(t.embeddings, "vec_id", "embedding", K).withColumn("distance", rounded("distance"))
+
+
+@query()
+def density_clusters(t):
+    """Density clusters of all vectors with probability and outlier score."""
+    found = density.density_clusters(t.embeddings, "vec_id", "embedding", min_size=5, k=K)
+    return found.select("vec_id", "label", "cluster", "probability", "outlier_score")
+
+
+@query()
+def density_coverage(t):
+    """How many density clusters there are and what share of the vectors they hold."""
+    return groups.cluster_coverage(density.density_clusters(t.embeddings, "vec_id", "embedding", min_size=5, k=K), "cluster")
+
+
+def _horner(coefs, x: str) -> str:
+    out = repr(coefs[-1])
+    for c in reversed(coefs[:-1]):
+        out = f"({out}) * {x} + {c!r}"
+    return f"({out})"
+
+
+# fixed values: coefficients of the inverse normal (Acklam) and of the normal distribution (Abramowitz-Stegun 26.2.17), lowest power first
+INVERSE = {"a": (2.506628277459239, -30.66479806614716, 138.357751867269, -275.9285104469687, 220.9460984245205, -39.69683028665376),
+           "b": (1.0, -13.28068155288572, 66.80131188771972, -155.6989798598866, 161.5858368580409, -54.47609879822406),
+           "c": (2.938163982698783, 4.374664141464968, -2.549732539343734, -2.400758277161838, -0.3223964580411365, -0.007784894002430293),
+           "d": (1.0, 3.754408661907416, 2.445134137142996, 0.3224671290700398, 0.007784695709041462)}
+NORMAL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+QUANTILE = (f"CASE WHEN p < 0.02425 THEN {_horner(INVERSE['c'], 'sqrt(-2 * ln(p))')} / {_horner(INVERSE['d'], 'sqrt(-2 * ln(p))')} "
+            f"WHEN p > 0.97575 THEN -{_horner(INVERSE['c'], 'sqrt(-2 * ln(1 - p))')} / {_horner(INVERSE['d'], 'sqrt(-2 * ln(1 - p))')} "
+            f"ELSE (p - 0.5) * {_horner(INVERSE['a'], '((p - 0.5) * (p - 0.5))')} / {_horner(INVERSE['b'], '((p - 0.5) * (p - 0.5))')} END")
+
+
+@query(f"""WITH long AS (SELECT i - 1 AS dim, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)),
+o AS (SELECT dim, x, row_number() OVER (PARTITION BY dim ORDER BY x) AS k, count(*) OVER (PARTITION BY dim) AS n FROM long),
+q AS (SELECT *, (k - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM o), s AS (SELECT *, {QUANTILE} AS m FROM q),
+t AS (SELECT dim, max(n) AS n, 1 / sqrt(max(n)) AS u, sum(m * m) AS mm, sum(m * x) AS mx, var_pop(x) * count(*) AS ss,
+  max(m) FILTER (k = n) AS m1, max(m) FILTER (k = n - 1) AS m2, max(x) FILTER (k = n) - max(x) FILTER (k = 1) AS d1,
+  max(x) FILTER (k = n - 1) - max(x) FILTER (k = 2) AS d2 FROM s GROUP BY dim),
+a AS (SELECT *, m1 / sqrt(mm) + {_horner(tests.LAST_WEIGHT, 'u')} AS a1, m2 / sqrt(mm) + {_horner(tests.NEXT_WEIGHT, 'u')} AS a2 FROM t),
+f AS (SELECT dim, n, ln(n::DOUBLE) AS l, pow((mx - m1 * d1 - m2 * d2) / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) + a1 * d1 + a2 * d2, 2) / ss AS w FROM a),
+z AS (SELECT dim, n, w, (ln(1 - w) - {_horner(tests.LARGE_MEAN, 'l')}) / exp({_horner(tests.LARGE_SD, 'l')}) AS z FROM f),
+e AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * abs(z)) AS h FROM z),
+r AS (SELECT *, exp(-z * z / 2) / 2.5066282746310002::DOUBLE * h * {_horner(NORMAL, 'h')} AS tail FROM e)
+SELECT CAST(dim AS INTEGER) AS dim, n, round(w, 6) AS w, round(CASE WHEN z >= 0 THEN tail ELSE 1 - tail END, 4) AS p, CASE WHEN z >= 0 THEN tail ELSE 1 - tail END > 0.05 AS gaussian FROM r""")
+def shapiro_wilk(t):
+    """Whether each vector dimension is normally distributed."""
+    return tests.shapiro_wilk(t.embeddings, "embedding").select("dim", "n", rounded("w").alias("w"), F.round("p", 4).alias("p"), "gaussian")

@@ -249,3 +249,14 @@ def test_null_vectors_have_no_code(spark):
     df = spark.createDataFrame([(1, [0.9, 1.2]), (2, None), (3, [0.1, 0.0])], "id int, vec array<double>")
     got = {r.id: (r.code, r.distance) for r in vs.nearest_code(df, book).collect()}
     assert got[1][0] == 1 and got[2] == (None, None) and got[3] == (0, pytest.approx(0.1))
+
+
+def test_shapiro_wilk_against_known_values(spark):
+    """The weights example of Shapiro and Wilk (1965): W is 0.79 for these eleven weights; small and odd inputs."""
+    from factloom.stats.tests import shapiro_wilk
+    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    got = shapiro_wilk(spark.createDataFrame([([float(w)],) for w in weights], "v array<double>"), "v").first()
+    assert got.n == 11 and abs(got.w - 0.79) < 0.005 and 0.003 < got.p < 0.015 and not got.gaussian
+    even = shapiro_wilk(spark.createDataFrame([([float(i), 1.0, None if i else 2.0],) for i in range(3)], "v array<double>"), "v").collect()
+    found = {r.dim: r for r in even}
+    assert abs(found[0].w - 1) < 1e-9 and found[0].p == 1.0 and found[1].w is None and 2 not in found
