@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import BLANK, running_start, saved, word_count
 from .words import mixed
 
+SLOTS_PER_TASK = 500_000
 MAX_SOURCES = 100_000  # bound of what is collected and broadcast; more sources raise an error
 WHOLE_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
@@ -129,7 +130,7 @@ def source_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: floa
     buckets = max(32, docs.count() // 50_000)
     sized = saved(docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"),
                               F.col(source).alias("row_source"), word_count(F.col(text)).alias("size"),
-                              F.pmod(F.xxhash64(id_col), F.lit(buckets)).alias("row_bucket")))
+                              F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))), F.lit(buckets)).alias("row_bucket")))
     totals = sized.groupBy("row_source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -154,7 +155,9 @@ def source_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: floa
     for r in drawn.groupBy("source_at").agg(F.sum("drawn").alias("n")).collect():
         sums[r.source_at] = r.n
     starts = running_start(drawn.withColumn("_part", F.expr("shard div 4096")), ["source_at"], "_part", ["shard"], "drawn")
-    slots = starts.select("shard", "source_at", "drawn", "start").mapInPandas(
+    # each row becomes up to a shard of slots, so the rows are few and the slots many: a given number of tasks makes them
+    dealt = starts.select("shard", "source_at", "drawn", "start").repartition(max(1, -(-total // SLOTS_PER_TASK)), "shard")
+    slots = dealt.mapInPandas(
         _slots(plan, sums, seed), "shard long, source_at int, epoch long, block long, words long")
 
     b = F.lit(block_words)
@@ -199,17 +202,19 @@ def mixed_documents(docs: DataFrame, rows: DataFrame, spans: DataFrame, id_col:
     same = (F.col("row_source").eqNullSafe(F.col("_s")) & (F.col("row_bucket") == F.col("_b"))
             & (F.col("row_number") == F.col("_n")))
     runs = rows.join(runs, same).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "size", "_runs")
-    texts = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    texts = texts.dropDuplicates([id_col, "_text_key"])
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # the table's own names cannot clash with those used here
+    texts, id_name, text = docs.toDF(*own.values()), own[id_col], own[text]
+    texts = texts.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    texts = texts.dropDuplicates([id_name, "_text_key"])
     words = F.regexp_extract_all(F.col(text), F.lit(WHOLE_WORD), F.lit(0))
     whole = F.transform("_runs", lambda r: F.col(text))
     parts = F.transform(F.array(words), lambda w: F.transform("_runs", lambda r: F.when(
         r["n_words"] == F.col("size"), F.col(text)).otherwise(F.regexp_replace(F.array_join(F.slice(
             w, (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")), ""), f"^{BLANK}", ""))))[0]
     all_whole = F.forall("_runs", lambda r: r["n_words"] == F.col("size"))
-    joined = (texts.join(runs, texts[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
+    joined = (texts.join(runs, F.col(id_name).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
               .withColumn("_part", F.explode(F.when(all_whole, whole).otherwise(parts))))
-    out = {c: F.col(c) for c in docs.columns} | {text: F.col("_part")}
+    out = {c: F.col("_part" if n == text else n) for c, n in own.items()}
     if "n_chars" in out:
         out["n_chars"] = F.char_length("_part").cast(docs.schema["n_chars"].dataType)
     return joined.select(*[v.alias(c) for c, v in out.items()])

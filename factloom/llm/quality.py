@@ -100,7 +100,7 @@ def language_references(docs: DataFrame, text: str, lang: str, common: int) -> D
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", common: int = 20,
-           class_limit: float = 0.25, word_limit: float = 0.45, least_chars: int = 200, least_words: int = 50) -> DataFrame:
+           class_limit: float = 0.25, word_limit: float = 0.30, least_chars: int = 200, least_words: int = 50) -> DataFrame:
     """One row per row of ``docs``: id_col, base counts, base_failed, class_distance, word_distance, kept.
 
     Base counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (see the module's rules). A document is kept if

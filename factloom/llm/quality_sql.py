@@ -3,7 +3,7 @@
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def quality_sql(common: int = 20, class_limit: float = 0.25, word_limit: float = 0.45, least_chars: int = 200,
+def quality_sql(common: int = 20, class_limit: float = 0.25, word_limit: float = 0.30, least_chars: int = 200,
                 least_words: int = 50) -> str:
     def jensen_shannon(p: str, q: str) -> str:
         def part(x: str) -> str:

@@ -79,7 +79,7 @@ def _crc(modulus: int):
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scores = toxicity.toxicity_scores(documents(spark, folder), labels, _crc(5) != 0, keep=["doc_id"])
-    return scores.select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
+    return scores.select("doc_id", F.coalesce(_crc(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @register()
@@ -90,7 +90,7 @@ def op3_probminhash(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     found = language.languages(documents(spark, folder), _crc(4) != 2)
-    return found.select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_crc(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @register(quality_sql())

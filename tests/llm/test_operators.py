@@ -344,3 +344,24 @@ def test_hot_group_of_near_copies(spark):
         rows.append((k, " ".join(words), "en", "a"))
     got = neardup.near_classes(frame(spark, rows)).collect()
     assert {r.class_id for r in got} == {0} and {r.class_size for r in got} == {150}
+
+
+def test_mix_of_clashing_names_and_null_ids(spark):
+    """Columns named like the operator's own are kept, and many rows without an id are spread over the buckets."""
+    rows = [(None, f"one two three {i}", "en", "a") for i in range(10_000)] + [(1, "four five", "en", "b")]
+    docs = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in ("size", "_id", "_key", "_text_key", "_part", "_runs", "text_key")})
+    found, spans = mixing.source_mix(docs)
+    assert found.groupBy("row_bucket").count().agg(F.max("count")).first()[0] < 2_000
+    mixed = mixing.mixed_documents(docs, found, spans)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.select("size", "_id", "_key", "_text_key", "_part", "_runs").distinct().collect()} == {
+        tuple(f"own {c}" for c in ("size", "_id", "_key", "_text_key", "_part", "_runs"))}
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    from factloom.llm.queries import QUERIES
+    docs = spark.createDataFrame([(i if i else None, f"word {i % 7} the and {i}", "en" if i % 2 else "de", "s", 9) for i in range(60)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_language"](spark, str(tmp_path)).collect()
+    assert [r.held_out for r in got if r.doc_id is None] == [False] and all(r.held_out is not None for r in got)
