@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import groups, order, sequences as seq
+from ..stats import rankings
 from .base import query, round_columns, rounded
 
 GAPS = """g AS (SELECT o_custkey, o_orderkey, o_orderdate,
@@ -171,3 +172,35 @@ def top_per_group(t):
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1""")
 def best_per_entity(t):
     return groups.best_per_group(t.orders, KEY, "o_totalprice", ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+def _rank_sql(table: str, group: str, x: str, y: str) -> str:
+    key = f"{group} AS g, " if group else "0 AS g, "
+    return f"""WITH r AS (SELECT {key}{x} AS x, {y} AS y, row_number() OVER () AS i FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2 AS ry FROM r),
+s AS (SELECT g, count(*) AS n, corr(rx, ry) AS rho FROM k GROUP BY g),
+p AS (SELECT a.g, count(*) AS pairs, count(*) FILTER (a.x = b.x) AS tx, count(*) FILTER (a.y = b.y) AS ty,
+  count(*) FILTER ((a.x < b.x AND a.y < b.y) OR (a.x > b.x AND a.y > b.y)) AS c,
+  count(*) FILTER ((a.x < b.x AND a.y > b.y) OR (a.x > b.x AND a.y < b.y)) AS d FROM r a JOIN r b ON a.g = b.g AND a.i < b.i GROUP BY 1)
+SELECT {'s.g AS ' + group + ', ' if group else ''}n, coalesce(c, 0)::DOUBLE AS concordant, coalesce(d, 0)::DOUBLE AS discordant,
+CASE WHEN pairs > tx AND pairs > ty THEN round((c - d) / (sqrt(pairs - tx) * sqrt(pairs - ty)), 6) END AS tau_b,
+CASE WHEN pairs > tx AND pairs > ty THEN round(rho, 6) END AS rho FROM s LEFT JOIN p ON s.g = p.g"""
+
+
+def _rank_agreement(df, x, y, by):
+    out = rankings.rank_correlation(df, x, y, by)
+    return out.select(*by, "n", *[F.col(c).cast("double").alias(c) for c in ("concordant", "discordant")],
+                      *[F.round(c, 6).alias(c) for c in ("tau_b", "rho")])
+
+
+@query(_rank_sql("lineitem", "l_suppkey", "l_quantity", "l_extendedprice"))
+def rank_agreement(t):
+    """How far quantity and price order the lines of each supplier alike."""
+    return _rank_agreement(t.lineitem, "l_quantity", "l_extendedprice", ["l_suppkey"])
+
+
+@query(_rank_sql("orders", "", "o_orderdate", "o_totalprice"))
+def rank_agreement_all(t):
+    """Whether later orders are dearer, over the whole table."""
+    return _rank_agreement(t.orders, "o_orderdate", "o_totalprice", [])
