@@ -4,32 +4,42 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import hash60
 from .common import running_start, saved
 
 BITS = 60
+LEAF_BITS = 5  # leaves are this much finer than the mean shard
 
 
-def _prefix(depth) -> Column:
-    return F.expr(f"shiftright(_hash, {BITS} - {depth})")
+STEP = 6  # depths summed from one table of nodes
 
 
 def _splits(items: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Shards at depths ``low`` to ``high`` of items (_hash, _bytes, _rows): item -> shard, and items still too large.
+    """Shards at depths ``low`` to ``high`` of items (_hash, _bytes, _rows), one per prefix of ``high`` bits: item -> shard,
+    and items that are too large themselves.
 
-    A node of the directory is a shard if it fits its limit and its parent does not; above ``low`` nothing fits.
+    A node of the directory is a shard if it fits its limit and its parent does not; above ``low`` nothing fits. Nodes are
+    summed upwards, ``STEP`` depths from the nodes below them, so an item is met once per depth of the lowest step only.
     """
-    nodes_of = items.select("_hash", "_bytes", "_rows", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-    nodes_of = nodes_of.withColumn("prefix", _prefix("depth"))
-    nodes = (nodes_of.groupBy("depth", "prefix").agg(F.sum("_bytes").alias("shard_bytes"),
-                                                     F.sum("_rows").alias("shard_rows")))
-    fits = nodes.where(F.col("shard_bytes") <= limit)
-    chosen = (nodes_of.select("_hash", "depth", "prefix").join(fits, ["depth", "prefix"])
-              .groupBy("_hash").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("_shard"))
-              .select("_hash", "_shard.*"))
-    return chosen, items.join(chosen.select("_hash"), "_hash", "left_anti")
+    sums = [F.sum("_bytes").alias("_bytes"), F.sum("_rows").alias("_rows")]
+    tier = items.select(F.expr(f"shiftright(_hash, {BITS - high})").alias("prefix"), "_bytes", "_rows")
+    nodes, top = tier.withColumn("depth", F.lit(high)), high
+    while top > low:
+        bottom = max(low, top - STEP)
+        up = tier.select(F.explode(F.sequence(F.lit(bottom), F.lit(top - 1))).alias("depth"), "prefix", "_bytes", "_rows")
+        up = saved(up.groupBy("depth", F.expr(f"shiftright(prefix, {top} - depth)").alias("prefix")).agg(*sums))
+        nodes, tier, top = nodes.unionByName(up), up.where(F.col("depth") == bottom).drop("depth"), bottom
+    split = nodes.where(F.col("_bytes") > limit).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_parent"))
+    fits = nodes.where(F.col("_bytes") <= limit).withColumn("_parent", F.expr("shiftright(prefix, 1)"))
+    found = (fits.where(F.col("depth") > low).join(split, ["depth", "_parent"], "left_semi")
+             .unionByName(fits.where(F.col("depth") == low)))
+    found = saved(found.select("depth", "prefix", F.col("_bytes").alias("shard_bytes"), F.col("_rows").alias("shard_rows")))
+    depths = [r.depth for r in found.select("depth").distinct().collect()] or [low]  # at most one per bit
+    chosen = (items.where(F.col("_bytes") <= limit).select("_hash", F.explode(F.array(*map(F.lit, sorted(depths)))).alias("depth"))
+              .withColumn("prefix", F.expr(f"shiftright(_hash, {BITS} - depth)")).join(found, ["depth", "prefix"]))
+    return chosen, items.where(F.col("_bytes") > limit)
 
 
 def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,7 +47,7 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id",
 
     A shard is a prefix of ``depth`` bits of the id's hash: shard = 2^depth + prefix. Only shards over
     ``limit_bytes`` (UTF-8 bytes of the text) are split on one more bit. The directory comes from byte sums: rows are
-    summed in leaves 8 bits finer than the mean shard needs, leaves are rolled up to every depth, and the shallowest
+    summed in leaves 5 bits finer than the mean shard needs, leaves are rolled up depth by depth, and the shallowest
     prefix that fits is the shard; leaves that still do not fit go through the deeper bits by themselves. The result
     does not depend on where the leaves are cut.
 
@@ -51,7 +61,7 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id",
                ).alias("_full"))
     rows = saved(rows)
     total = rows.agg(F.sum("_bytes")).first()[0] or 0
-    leaf_bits = min(BITS, 8 + max(0, math.ceil(math.log2(max(1, total / limit_bytes)))))
+    leaf_bits = min(BITS, LEAF_BITS + max(0, math.ceil(math.log2(max(1, total / limit_bytes)))))
     leaf = F.expr(f"shiftleft(shiftright(_full, {BITS - leaf_bits}), {BITS - leaf_bits})")
     rows = rows.withColumn("_leaf", leaf)
     leaves = rows.groupBy(F.col("_leaf").alias("_hash")).agg(F.sum("_bytes").alias("_bytes"),
