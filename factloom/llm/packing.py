@@ -34,10 +34,13 @@ def score(lengths, bins: Bins, capacity: int) -> tuple[int, float]:
 
 
 def crossed(lengths, taker: Bins, giver: Bins, capacity: int, rng: np.random.Generator, filled: float = 0.995) -> Bins:
-    """Inject well-filled bins of ``giver`` whole, remove bins with duplicates, best-fit what was displaced."""
+    """Inject well-filled bins of ``giver`` whole, remove bins with duplicates, best-fit what was displaced.
+
+    Where no bin is filled that well, the fullest quarter counts.
+    """
     good = [b for b in giver if sum(lengths[i] for i in b) >= filled * capacity]
     if not good:
-        return [list(b) for b in taker]
+        good = sorted(giver, key=lambda b: -sum(lengths[i] for i in b))[:max(1, len(giver) // 4)]
     injected = [list(good[k]) for k in rng.choice(len(good), size=max(1, len(good) // 2), replace=False)]
     inside = {i for b in injected for i in b}
     kept = [list(b) for b in taker if inside.isdisjoint(b)]
@@ -56,22 +59,24 @@ def mutated(lengths, bins: Bins, capacity: int, rng: np.random.Generator, share:
 
 def evolve(lengths, population: list[Bins], capacity: int, rng: np.random.Generator, size: int = 4,
            generations: int = 8) -> list[Bins]:
-    """``size`` best packings after some generations, best first; ends early at the smallest possible number of bins."""
+    """``size`` best packings after some generations, best first; ends early at the smallest possible number of bins.
+
+    The population is filled up with best-fit packings of random orders, from which crossover has to find the good bins.
+    """
     least = -(-sum(lengths) // capacity)
-    by_size = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     ranked = sorted(((score(lengths, b, capacity), n, b) for n, b in enumerate(population)), key=lambda x: x[:2])
     made = len(ranked)
     while len(ranked) < size and (not ranked or ranked[0][0][0] > least):
-        order = by_size if not ranked else sorted(by_size, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.2))
-        bins = best_fit(lengths, order, [], capacity)
+        bins = best_fit(lengths, rng.permutation(len(lengths)).tolist(), [], capacity)
         insort(ranked, (score(lengths, bins, capacity), made, bins), key=lambda x: x[:2])
         made += 1
     for _ in range(generations):
-        if ranked[0][0][0] <= least:
-            break
+        parents = ranked[:size]
         for _ in range(size):
-            a, b = rng.integers(0, len(ranked), 2)
-            child = crossed(lengths, ranked[a][2], ranked[b][2], capacity, rng)
+            if ranked[0][0][0] <= least:
+                return [bins for _, _, bins in ranked[:size]]
+            a, b = rng.choice(len(parents), 2, replace=False) if len(parents) > 1 else (0, 0)
+            child = crossed(lengths, parents[a][2], parents[b][2], capacity, rng)
             if rng.uniform() < 0.5:
                 child = mutated(lengths, child, capacity, rng)
             insort(ranked, (score(lengths, child, capacity), made, child), key=lambda x: x[:2])
@@ -126,14 +131,24 @@ def _packed(items: DataFrame, blocks: int, capacity: int, islands: int, epochs:
     pools = (items.withColumn("_block", F.pmod(F.xxhash64("_item", F.lit(seed)), F.lit(blocks)))
              .withColumn("_island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
              .withColumn("_packings", F.lit(None).cast("array<int>")).withColumn("_elite", F.lit(False)))
+    done = []
     for epoch in range(epochs):
-        pools = pools.groupBy("_block", "_island").applyInPandas(_island(capacity, seed + epoch, epoch == epochs - 1), ISLAND)
-        if epoch < epochs - 1:  # elites migrate to the next island of their block
-            pools = saved(pools)
-            elites = (pools.withColumn("_packings", F.slice("_packings", 1, 1)).withColumn("_elite", F.lit(True))
-                      .withColumn("_island", F.expr(f"cast((_island + 1) % {islands} as int)")))
-            pools = pools.withColumn("_elite", F.lit(False)).unionByName(elites)
-    pools = saved(pools)
+        pools = saved(pools.groupBy("_block", "_island").applyInPandas(_island(capacity, seed + epoch, epoch == epochs - 1), ISLAND))
+        # a cost lies less than one below its number of bins; blocks at the least possible number need no more
+        short = (pools.groupBy("_block").agg(F.min("_cost").alias("_best"), F.sum("length").alias("_sum"))
+                 .where(F.ceil("_best") > F.ceil(F.col("_sum") / (islands * capacity))).select("_block"))
+        if epoch == epochs - 1 or (short := saved(short)).isEmpty():
+            done.append(pools)
+            break
+        done.append(pools.join(short, "_block", "left_anti"))
+        # elites migrate to the next island of their block
+        pools = pools.join(short, "_block", "left_semi")
+        elites = (pools.withColumn("_packings", F.slice("_packings", 1, 1)).withColumn("_elite", F.lit(True))
+                  .withColumn("_island", F.expr(f"cast((_island + 1) % {islands} as int)")))
+        pools = pools.withColumn("_elite", F.lit(False)).unionByName(elites)
+    pools = done[0]
+    for part in done[1:]:
+        pools = pools.unionByName(part)
     best = (pools.groupBy("_block").agg(F.min(F.struct("_cost", "_island")).alias("_best"))
             .select("_block", F.col("_best._island").alias("_island")))
     return (pools.join(best, ["_block", "_island"])
@@ -145,7 +160,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, block_items: int = 2000
     """``pieces`` (with a column ``length``, 1 to ``capacity``) with sequence_id and offset.
 
     Pieces are dealt at random into blocks of about ``block_items``. ``islands`` populations evolve packings of each
-    block, their elites migrate once per epoch, and the best packing is taken. Bins filled less than ``filled`` are
+    block from random orders; in blocks above the least possible number of bins their elites migrate once per epoch, and
+    the best packing is taken. Bins filled less than ``filled`` are
     opened and their pieces dealt into fewer blocks, level by level, down to one block, so nearly full sequences
     are all that is left. A piece of full length is a sequence by itself. Pieces in a sequence lie in the order of
     their numbers without gaps. Work per task is bounded by ``block_items``; repeated rows are packed each; an empty

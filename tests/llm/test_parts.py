@@ -273,3 +273,35 @@ def test_token_ids_are_those_of_the_whole_text():
     for text in ["", " \n", "Don't, I'll. x.. y., z.,. 3. 4, É. Σας ΣΑΣ. a\x1cb Á. é, İ. q²,", "<|endoftext|> A <|ENDOFTEXT|>", "ª µm straße.", "́. a", "word " * 3000]:
         want = np.array(cache.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert cache.ids(text.encode()) == want and zlib.crc32(want) == zlib.crc32(cache.ids(text.encode()))
+
+
+def triples(n, rng):
+    """Lengths that fit exactly three to a bin of 1000, the hard case for best fit in decreasing order."""
+    first = rng.integers(380, 490, n)
+    second = [int(rng.integers(255, (1000 - a) // 2 + 1)) for a in first]
+    return [int(x) for a, b in zip(first, second) for x in (a, b, 1000 - a - b)]
+
+
+def test_crossover_beats_best_fit(monkeypatch):
+    calls = []
+    plain = packing.crossed
+    monkeypatch.setattr(packing, "crossed", lambda *a: calls.append(1) or plain(*a))
+    found, decreasing = 0, 0
+    for seed in range(5):
+        rng = np.random.default_rng(seed)
+        lengths = triples(40, rng)
+        decreasing += len(packing.best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), [], 1000))
+        best = packing.evolve(lengths, [], 1000, rng, generations=40)[0]
+        assert sorted(i for b in best for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 1000 for b in best)
+        found += len(best)
+    assert 5 * 40 <= found < decreasing and len(calls) > 50
+
+
+def test_crossover_gains_on_random_orders():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        lengths = rng.integers(50, 2200, 800).tolist()
+        starts = [len(packing.best_fit(lengths, rng.permutation(800).tolist(), [], 4096)) for _ in range(4)]
+        found = len(packing.evolve(lengths, [], 4096, rng)[0])
+        assert -(-sum(lengths) // 4096) <= found < min(starts) and found <= -(-sum(lengths) // 4096) + 1
