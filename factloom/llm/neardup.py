@@ -264,6 +264,7 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     gone = (placed.join(whole.where("class_size > 1"), "_class")
             .where(~(F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_hash") == F.col("_best._hash"))))
             .select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash")))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return hashed.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")),
-                       "left_anti").select(docs.columns)
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # the table's own names cannot clash with those used here
+    digest = F.xxhash64(F.coalesce(F.col(own[text]), F.lit("")))
+    kept = docs.toDF(*own.values()).join(gone, F.col(own[id_col]).eqNullSafe(F.col("_gone_id")) & (digest == F.col("_gone_hash")), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])

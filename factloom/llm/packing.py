@@ -165,9 +165,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, block_items: int = 2000
     opened and their pieces dealt into fewer blocks, level by level, down to one block, so nearly full sequences
     are all that is left. A piece of full length is a sequence by itself. Pieces in a sequence lie in the order of
     their numbers without gaps. Work per task is bounded by ``block_items``; repeated rows are packed each; an empty
-    table gives no rows.
+    table gives no rows. Columns ``sequence_id`` and ``offset`` of ``pieces`` are replaced, all others stay.
     """
-    numbered = saved(saved(pieces).withColumn("_item", F.monotonically_increasing_id()))
+    own = {c: f"_c{i}" for i, c in enumerate(pieces.columns) if c != "length"}  # own names cannot clash with those used here
+    numbered = saved(saved(pieces.select("length", *[F.col(f"`{c}`").alias(n) for c, n in own.items()]))
+                     .withColumn("_item", F.monotonically_increasing_id()))
     items = numbered.select("_item", "length").where(F.col("length") < capacity)
     done = numbered.where(F.col("length") >= capacity).select(
         "_item", "length", F.lit(0).alias("_level"), F.col("_item").alias("_block"), F.lit(0).alias("_bin"))
@@ -192,7 +194,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, block_items: int = 2000
               .select(F.col("_members")[0]["_item"].alias("sequence_id"),
                       F.explode(F.arrays_zip(F.col("_members._item").alias("_item"), F.col("_ends").alias("offset"))).alias("_p"))
               .select("sequence_id", "_p._item", "_p.offset"))
-    return numbered.join(places, "_item").drop("_item")
+    columns = [F.col(own.get(c, c)).alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
+    return numbered.join(places, "_item").select(*columns, "sequence_id", "offset")
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:

@@ -283,6 +283,50 @@ def test_lines(spark, odd):
     assert len(whole) == len(odd) and linededup.line_report(frame(spark, [])).count() == 0
 
 
+def test_lines_of_null_and_repeated_ids(spark):
+    """All ids, repeated rows, and fingerprints of few and of most rows, against the runs of all texts."""
+    from test_parts import brute_removed
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        body = "\n".join(rng.choice([" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefg", (3, 9, 14, 25, 40, 60, 30))] + [""])
+                         for _ in range(rng.randrange(9)))
+        rows.append((rng.choice([None, i % 7, i]), body if i % 11 else None, "en", "a"))
+    rows += rows[:30]
+    docs = frame(spark, rows)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    keys = {((i is None, i or 0), hashes[t]): t for i, t, *_ in rows}
+    want = brute_removed(list(keys.items()), 50)
+    got = {((r._id is None, r._id or 0), r._hash): set(r.removed) for r in linededup.repeated_lines(docs).collect()}
+    def solid(found):  # lines without words do not count
+        return {k: v for k, lines in found.items() if (v := {n for n in lines if keys[k].split("\n")[n].strip()})}
+    assert solid(got) == solid(want) and len(want) > 20
+    assert len(linededup.line_report(docs).collect()) == len(rows)
+
+
+def test_common_keys_meet_like_others(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") < 2000, 1).otherwise(F.col("id") % 3000).alias("k"))
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("least")).where("_n > 1")
+    both = linededup._met(rows, groups, ["k"], "inner")
+    plain = rows.join(groups.drop("_n"), "k")
+    assert sorted(map(tuple, both.select("id", "k", "least").collect())) == sorted(map(tuple, plain.select("id", "k", "least").collect()))
+    assert linededup._met(rows, groups.select("k", "_n"), ["k"], "left_semi").count() == plain.count()
+
+
+def test_clashing_names_keep_their_values(spark):
+    text = "one two three four five six seven " * 9
+    names = "doc_id long, text string, size int, _item int, _text_hash int, sequence_id int, offset int, removed int, _id int, c1 int, _c0 int, _gone_id int"
+    docs = spark.createDataFrame([(i, text if i < 2 else f"{i} other", *range(3, 13)) for i in range(4)], names)
+    def rest(df):
+        return sorted(set(map(tuple, df.select(*docs.columns[2:]).collect())))
+    for done in (linededup.without_repeated_lines(docs), neardup.one_of_each_class(docs), exact.distinct_documents(docs)):
+        assert done.columns == docs.columns and rest(done) == [tuple(range(3, 13))]
+    packed = packing.pack_pieces(docs.withColumn("length", F.length("text")), 512)
+    own = [c for c in docs.columns if c not in ("sequence_id", "offset")]
+    assert packed.columns == [*own, "length", "sequence_id", "offset"]
+    assert sorted(map(tuple, packed.select(*own).collect())) == sorted(map(tuple, docs.select(*own).collect()))
+
+
 def test_pseudonymised_rows(spark, odd):
     rows = odd + [(600, "card 4041894974608795.", "en", "a"), (601, "pay 4041894974608795 now", "en", "b")]
     docs = frame(spark, rows)

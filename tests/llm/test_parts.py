@@ -91,9 +91,11 @@ def test_windows_cover_repeated_runs(docs):
     docs = [(i, "\n".join(d)) for i, d in enumerate(docs)]
     places, anchors = {}, Counter()
     for i, t in docs:
-        for anchor, k1, k2, a, b, new in linededup.line_runs(t, 6):
-            places.setdefault((k1, k2), []).append((i, a, b, anchor))
-            anchors[anchor] += new
+        numbers, words, digests = linededup.line_digests(t)
+        for place, spans in linededup.minima(words, digests, 6).items():
+            anchors[anchor := linededup.fingerprint(digests[place])] += 1
+            for a, b in spans:
+                places.setdefault(linededup.content_key(digests[a:b]), []).append((i, numbers[a], numbers[b - 1], anchor))
     got = {}
     for found in places.values():
         first = min(found)
