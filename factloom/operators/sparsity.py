@@ -107,14 +107,72 @@ def _complete(patterns: DataFrame, sets: list[tuple[int, ...]], width: int) -> n
     return out
 
 
-def best_column_subset(df: DataFrame, cols, ks, most_sets: int = 1_000_000) -> DataFrame:
+SETS_PER_TASK, PATTERNS_PER_TASK = 4000, 50_000
+
+
+def _complete_table(patterns: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(set, n): rows complete on each set of columns; a task compares a block of sets with a block of patterns."""
+    sets = cut_lineage(sets)
+    set_blocks = max(1, -(-sets.count() // SETS_PER_TASK))
+    pattern_blocks = max(1, -(-patterns.count() // PATTERNS_PER_TASK))
+    def needed(long):  # the bits of the set's columns in one long of a pattern
+        own = F.filter("set", lambda c: F.floor(c / MASK_BITS) == long)
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), c % MASK_BITS)))
+
+    def count(left, right):
+        if not len(left):
+            return pd.DataFrame({"set": [], "n": []})
+        masks, pattern, n = np.stack(left["needs"].to_numpy()), right["masks"].to_numpy(), right["n"].to_numpy()
+        totals, step = np.zeros(len(masks), dtype=np.int64), max(1, 2_000_000 // masks.size)
+        for start in range(0, len(pattern), step):
+            part = np.stack(pattern[start:start + step])[:, None]
+            totals += ((part & masks) == masks).all(axis=2).T @ n[start:start + step]
+        return pd.DataFrame({"set": left["set"], "n": totals})
+
+    left = (sets.select("set", F.array(*[needed(i) for i in range(-(-width // MASK_BITS))]).alias("needs"), F.pmod(F.xxhash64("set"), F.lit(set_blocks)).alias("i"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pattern_blocks - 1).cast("bigint")))))
+    right = (patterns.withColumn("j", F.pmod(F.xxhash64("masks"), F.lit(pattern_blocks)))
+             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(set_blocks - 1).cast("bigint")))))
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
+        count, "set array<int>, n bigint")
+    return cut_lineage(parts.groupBy("set").agg(F.sum("n").alias("n")))
+
+
+def _levels_as_tables(patterns: DataFrame, kept: DataFrame, size: int, ks, bound: int, width: int) -> list[tuple]:
+    """(size, best set, its rows, sets tried) of the sizes in ``ks`` above ``size``, from the sets of that size in ``kept``.
+
+    Sets with the same first columns are joined into sets of one more; those with a part that is not kept go. Nothing
+    but the best set of a size reaches the driver.
+    """
+    out = []
+    while size < ks[-1]:
+        first, last = F.slice("set", 1, size - 1), F.element_at("set", -1)
+        a, b = kept.select("set", first.alias("p"), last.alias("x")), kept.select(first.alias("p"), last.alias("y"))
+        grown = a.join(b, "p").where("x < y").select(F.concat("set", F.array("y")).alias("set"))
+        if size > 1:  # the two parts it is made of are kept; now those that lack an earlier column
+            part = F.transform(F.sequence(F.lit(0), F.lit(size - 2)), lambda j: F.filter("set", lambda c, i: i != j))
+            known = grown.select("set", F.explode(part).alias("part")).join(kept.select(F.col("set").alias("part")), "part", "left_semi")
+            grown = known.groupBy("set").agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") == size - 1).select("set")
+        level, size = _complete_table(patterns, grown, width), size + 1
+        best = level.orderBy(F.desc("n"), "set").first()
+        if best is None:
+            break
+        if size in ks and best["n"] > 0:
+            out.append((size, list(best["set"]), best["n"], level.count()))
+        kept = level.where(F.col("n") >= bound).select("set")
+    return out
+
+
+def best_column_subset(df: DataFrame, cols, ks, most_sets: int = 20_000) -> DataFrame:
     """The column subset of each size with the most complete rows: column_qty, column_list, complete_rows, tried.
 
     Exact. A greedy choice gives a bound for the largest size; since complete rows never rise when a column is
     added, sets below that bound cannot be part of an answer, and sets grow level by level from those above it. Of
     equally good sets the one with the earliest columns is given. ``tried`` is the number of sets counted at that size.
-    More than ``most_sets`` sets in a level are an error, never a guess. Sizes with no complete row, or
-    above the number of filled columns, have no row.
+    Levels of up to ``most_sets`` sets are made here and sent to the tasks; from the first larger one on, levels are
+    tables, made by joins and counted in blocks, with the same result. Sizes with no complete row, or above the number of
+    filled columns, have no row.
     """
     cols, ks = list(cols), sorted(set(ks))
     patterns = cut_lineage(pattern_counts(df, cols))
@@ -149,6 +207,11 @@ def best_column_subset(df: DataFrame, cols, ks, most_sets: int = 1_000_000) -> D
                     if all(grown[:j] + grown[j + 1:] in known for j in range(len(grown) - 2)):
                         level.append(grown)
                 if len(level) > most_sets:
-                    raise ValueError(f"more than {most_sets} column sets of size {k + 1} remain; ask for smaller sizes")
+                    break
+            if len(level) > most_sets:
+                table = df.sparkSession.createDataFrame([(list(c),) for c in kept], "set array<int>")
+                out += [(size, [cols[c] for c in best], n, tried) for size, best, n, tried in
+                        _levels_as_tables(patterns, table, k, ks, bound, len(cols))]
+                break
             rows = _complete(patterns, level, len(cols)).tolist() if level else []
     return df.sparkSession.createDataFrame(out, "column_qty int, column_list array<string>, complete_rows bigint, tried bigint")

@@ -123,6 +123,11 @@ def test_column_subsets_against_brute_force(spark):
     assert best[2].complete_rows == max(pairs.values()) and best[2].tried < len(pairs)
     triple = max(int((filled[:, a] & filled[:, b] & filled[:, c]).sum()) for a, b, c in combinations(range(60, 130), 3))
     assert best[3].complete_rows >= triple
+    one = sparsity.best_column_subset(table, many[70:86], [1, 2, 3, 4])
+    for most in (1, 40):  # the same from levels that are tables, from the first or a later level on
+        assert rows(sparsity.best_column_subset(table, many[70:86], [1, 2, 3, 4], most), "column_qty") == rows(one, "column_qty")
+    wide_sets = sparsity.best_column_subset(table, many, [2], 10).first()  # masks of several longs
+    assert (wide_sets.column_list, wide_sets.complete_rows) == (best[2].column_list, best[2].complete_rows)
     steps = sparsity.greedy_complete_columns(table, many[::-1], 0.7).orderBy("column_qty").collect()
     kept, rows_left = [], None
     for c in range(129, -1, -1):
