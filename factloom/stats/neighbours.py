@@ -11,6 +11,7 @@ from ..session import cut_lineage
 from .vectors import stacker
 
 MAX_CELLS = 4_096
+TASK_CELLS = 1 << 20  # distances that a task holds at once
 
 
 def distinct_vectors(df: DataFrame, key: str, vec: str, lowest: int = 1) -> DataFrame:
@@ -79,8 +80,9 @@ def neighbour_table(points: DataFrame, k: int, block_rows: int = 8_192, seed: in
         if len(here) and len(guest):
             y, names = stack(here["v"]), here["id"].to_numpy()
             half = (y ** 2).sum(axis=1)
-            for at in range(0, len(guest), 1024):
-                part = guest.iloc[at:at + 1024]
+            step = max(1, TASK_CELLS // len(names))
+            for at in range(0, len(guest), step):
+                part = guest.iloc[at:at + step]
                 x, own, bound = stack(part["v"]), part["id"].to_numpy(), part["bound"].to_numpy()
                 d2 = np.maximum((x ** 2).sum(axis=1)[:, None] + half[None, :] - 2 * x @ y.T, 0)
                 d2[own[:, None] == names[None, :]] = np.inf
