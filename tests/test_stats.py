@@ -42,6 +42,35 @@ def test_near_pairs_reports_each_pair_once(table):
     assert pairs.near_pairs(table.where("id < 0"), "id", "vec", 1.0).count() == 0
 
 
+def test_near_pairs_travel_once_per_block_not_per_root_of_the_rows(spark, monkeypatch):
+    """Vectors that no distance tells apart: few cells, and tables of distances in small parts give the same pairs."""
+    x = np.random.default_rng(5).normal(0, 1, (400, 8)).round(4)
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, vec array<double>")
+    taken, limit = [], type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: taken.append(n) or limit(self, n))
+    monkeypatch.setattr(pairs, "TASK_CELLS", 100)
+    got = {(r.id_a, r.id_b) for r in pairs.near_pairs(df, "id", "vec", 2.5).collect()}
+    assert taken == [8]  # 20 before: the root of the rows
+    far = np.linalg.norm(x[:, None] - x[None], axis=2)
+    assert got == {(a, b) for a in range(400) for b in range(a + 1, 400) if far[a, b] <= 2.5} and len(got) > 50
+
+
+def test_pair_table_keeps_named_columns_only(spark):
+    df = spark.createDataFrame([(0, 1, 2.0, [1.0]), (0, 2, 5.0, [2.0])], "id_a int, id_b int, d double, wide array<double>")
+    out = pairs.pair_table(df, {"far": F.col("d") * 2}, ["id_a", "id_b"])
+    assert set(out.columns) == {"id_a", "id_b", "far", "rank_far"}
+    assert {(r.id_b, r.far, r.rank_far) for r in out.collect()} == {(1, 4.0, 1.0), (2, 10.0, 2.0)}
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_attach_codes_sent_or_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(vs, "MAX_BOOK_VALUES", most)
+    book = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (None, [5.0, 6.0])], "code int, code_vec array<double>")
+    rows = spark.createDataFrame([(10, 1), (11, 2), (12, None), (13, 7), (10, 1)], "id int, label int")
+    out = vs.attach_codes(rows, book, "label", "mean")
+    assert sorted((r.id, r.label, r.mean) for r in out.collect()) == [(10, 1, [1.0, 2.0])] * 2 + [(11, 2, [3.0, 4.0])]
+
+
 def test_pair_table_six_sentences(spark):
     """Pairs 0-1 and 4-5 lie near, 1-2 far; ranks agree with the distances."""
     vectors = {0: [1.0, 0.1], 1: [0.9, 0.2], 2: [-1.0, 0.3], 3: [-0.9, -0.4], 4: [0.1, 1.0], 5: [0.2, 0.9]}
