@@ -2,7 +2,7 @@
 
 import pytest
 
-from factloom.session import SPLIT_BYTES, SPLIT_KEY, _bytes, configure
+from factloom.session import TASK_BYTES, TASK_KEYS, _bytes, configure
 
 
 @pytest.mark.parametrize("text, size", [("134217728b", 128 << 20), ("16m", 16 << 20), ("64KB", 64 << 10), ("5", 5), ("1g", 1 << 30)])
@@ -10,11 +10,12 @@ def test_sizes_as_spark_writes_them(text, size):
     assert _bytes(text) == size
 
 
-def test_scans_are_cut_into_bounded_splits_and_smaller_limits_stay(spark):
-    old = spark.conf.get(SPLIT_KEY)
+@pytest.mark.parametrize("key", TASK_KEYS)
+def test_tasks_read_bounded_pieces_and_smaller_limits_stay(spark, key):
+    old = spark.conf.get(key)
     try:
-        for given, wanted in (("128m", SPLIT_BYTES), ("1m", 1 << 20)):
-            spark.conf.set(SPLIT_KEY, given)
-            assert _bytes(configure(spark).conf.get(SPLIT_KEY)) == wanted
+        for given, wanted in (("128m", TASK_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(key, given)
+            assert _bytes(configure(spark).conf.get(key)) == wanted
     finally:
-        spark.conf.set(SPLIT_KEY, old)
+        spark.conf.set(key, old)
