@@ -129,3 +129,16 @@ def test_markup(spark):
     r = one(spark, h=markup.attribute(lit(r[0].attrs), "href"), c=markup.attribute(lit(r[0].attrs), "class"), n=markup.attribute(lit(r[0].attrs), "ref"),
             t=markup.plain_text(lit(r[0].inner)))
     assert tuple(r) == ("u?a=1", "x", None, "a bold & more")
+
+
+def test_markup_short_ways_give_the_same(spark):
+    """Texts without references, documents without nesting and every kind of hidden part."""
+    texts = ["plain", "a <b>c</b>", "x\x01y", "&amp;lt; &lt;p&gt; &#65;", "&nope; z", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(markup.plain_text("t").alias("p")).collect()
+    assert [r.p for r in rows] == ["plain", "a c", "x&y", "&lt; <p> A", " z", None]
+    pages = ["a<!-- <p> -->b", "a<SCRIPT x>1<!--</script >b", "a<style>x</style>b", "a<styles>b", "a<!b", "<!-->c-->d"]
+    rows = spark.createDataFrame([(t,) for t in pages], "t string").select(markup.visible("t").alias("v")).collect()
+    assert [r.v for r in rows] == ["ab", "ab", "ab", "a<styles>b", "a<!b", "d"]
+    nests = ["<x a='1'>p</x><x/>", "<x>a<x>b</x>c</x>", "none", "</x>", None]
+    rows = spark.createDataFrame([(t,) for t in nests], "t string").select(markup.nested_elements("t", "x").alias("e")).collect()
+    assert [None if r.e is None else [e.inner for e in r.e] for r in rows] == [["p", ""], ["b", "abc"], [], [], None]
