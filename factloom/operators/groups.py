@@ -154,6 +154,9 @@ def cluster_coverage(df: DataFrame, cluster: str, none_label: int = -1) -> DataF
 
 
 def max_by_field(df: DataFrame, by, column: str, value: str, mapping: DataFrame) -> DataFrame:
-    """Largest value per original field, where several one-hot columns map to one field."""
-    return (df.join(mapping.select(F.col("column").alias(column), "field"), column)
+    """Largest value per original field, where several one-hot columns map to one field.
+
+    The mapping has a row per column, so it goes to the tasks: a shuffle by column would put all rows into as many tasks.
+    """
+    return (df.join(F.broadcast(mapping.select(F.col("column").alias(column), "field")), column)
             .groupBy(*by, "field").agg(F.max(value).alias(value)))

@@ -289,3 +289,19 @@ def test_shapiro_wilk_against_known_values(spark):
     even = shapiro_wilk(spark.createDataFrame([([float(i), 1.0, None if i else 2.0],) for i in range(3)], "v array<double>"), "v").collect()
     found = {r.dim: r for r in even}
     assert abs(found[0].w - 1) < 1e-9 and found[0].p == 1.0 and found[1].w is None and 2 not in found
+
+
+def test_max_by_field_does_not_deal_rows_by_column(spark):
+    """All rows of one column must not meet in one task, whatever Spark would choose for the join."""
+    from factloom.operators.groups import max_by_field
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rows = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.7), (1, "c", 0.1), (2, "a", 0.2), (None, "b", 0.3)], "id int, name string, error double")
+        mapping = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "column string, field string")
+        out = max_by_field(rows, ["id"], "name", "error", mapping)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r.id, r.field, r.error) for r in out.collect()} == {(1, "x", 0.7), (1, "y", 0.1), (2, "x", 0.2), (None, "x", 0.3)}
+    finally:
+        spark.conf.set(key, old)
