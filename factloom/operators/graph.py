@@ -12,7 +12,7 @@ from .order import with_position
 TASK_ROWS = 200_000
 
 
-def _one_task(df: DataFrame, run, schema: str) -> DataFrame:
+def one_task(df: DataFrame, run, schema: str) -> DataFrame:
     """``run`` over a table whose size has been checked."""
     return df.groupBy(F.lit(1).alias("_all")).applyInPandas(run, schema)
 
@@ -37,7 +37,7 @@ def follow(pointers: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     state = cut_lineage(pointers.select("node", "next", (F.col("node") == F.col("next")).alias("done")))
     if state.count() <= task_rows:
         kind = dict(state.dtypes)["node"]
-        return cut_lineage(_one_task(state.select("node", "next"), walk, f"node {kind}, root {kind}"))
+        return cut_lineage(one_task(state.select("node", "next"), walk, f"node {kind}, root {kind}"))
     while True:
         going = state.where(~F.col("done"))
         if going.isEmpty():
@@ -84,7 +84,7 @@ def spanning_forest(edges: DataFrame, task_rows: int = TASK_ROWS) -> tuple[DataF
     while left := state.count():
         if left <= task_rows:
             kind = dict(links.dtypes)["a"]
-            rest = cut_lineage(_one_task(state.withColumn("w", F.col("w").cast("double")), _joiner(), f"a {kind}, b {kind}, w double, edge boolean"))
+            rest = cut_lineage(one_task(state.withColumn("w", F.col("w").cast("double")), _joiner(), f"a {kind}, b {kind}, w double, edge boolean"))
             taken = rest.where("edge").select("a", "b", F.col("w").cast(dict(links.dtypes)["w"]).alias("w"))
             forest = taken if forest is None else forest.unionByName(taken)
             roots = rest.where("not edge").select(F.col("a").alias("component"), F.col("b").alias("root"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.graph import TASK_ROWS, follow, merge_tree, spanning_forest
+from ..operators.graph import TASK_ROWS, follow, merge_tree, one_task, spanning_forest
 from ..operators.order import with_position
 from ..session import cut_lineage
 from .neighbours import distinct_vectors, neighbour_table
@@ -49,29 +50,83 @@ def condensed(edges: DataFrame, nodes: DataFrame, min_size: int, task_rows: int
     return cut_lineage(clusters), points
 
 
-def selected(clusters: DataFrame) -> DataFrame:
+def _chooser():
+    """Which clusters of a part are kept, children first; a function that travels to the tasks by value."""
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        names = frame["c"].tolist()
+        at = {c: i for i, c in enumerate(names)}
+        parents = [None if p is None else int(p) for p in frame["parent"].astype(object).where(frame["parent"].notna(), None)]
+        up = [at.get(p) for p in parents]
+        stability, may = frame["stability"].tolist(), frame["may"].tolist()
+        has, below, deepest = frame["has"].tolist(), frame["below"].tolist(), frame["death"].tolist()
+        deepest = [max(d, b) if h else d for d, b, h in zip(deepest, frame["below_deepest"].tolist(), has)]
+        below = [b if h else 0.0 for b, h in zip(below, has)]
+        waits = [0] * len(names)
+        for p in up:
+            if p is not None:
+                waits[p] += 1
+        ready, order = [i for i, n in enumerate(waits) if not n], []
+        best, kept = [0.0] * len(names), [False] * len(names)
+        while ready:
+            i = ready.pop()
+            order.append(i)
+            kept[i] = bool(may[i] and (not has[i] or stability[i] >= below[i]))
+            best[i] = stability[i] if kept[i] else below[i]
+            p = up[i]
+            if p is not None:
+                has[p], below[p], deepest[p] = True, below[p] + best[i], max(deepest[p], deepest[i])
+                waits[p] -= 1
+                if not waits[p]:
+                    ready.append(p)
+        top = [None] * len(names)
+        for i in reversed(order):  # a parent comes after its children, so now before them
+            above = None if up[i] is None else top[up[i]]
+            top[i] = above if above is not None else i if kept[i] else None
+        chosen = pd.array([None if i is None else names[i] for i in top], dtype="Int64")
+        return pd.DataFrame({"c": frame["c"], "parent": pd.array(parents, dtype="Int64"), "best": best, "kept": kept, "deepest": deepest, "chosen": chosen})
+
+    return choose
+
+
+def _depths(clusters: DataFrame) -> DataFrame:
+    """(c, depth): the number of clusters above each, by doubling."""
+    state = cut_lineage(clusters.select("c", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")))
+    while not state.where(F.col("up").isNotNull()).isEmpty():
+        via = state.select(F.col("c").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        state = cut_lineage(state.join(via, "up", "left").select("c", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+    return state.select("c", "depth")
+
+
+def selected(clusters: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """(c, chosen, deepest): the topmost chosen cluster above or at each cluster (NULL without one), and the largest
     lambda anywhere below it.
 
     A cluster is kept if its stability is at least that of the best choice among its descendants; a single top is not
-    kept. Clusters are taken level by level from the leaves, one round per level, then topmost ones by doubling.
+    kept. Up to ``task_rows`` clusters are taken by one task. More are sorted by depth, deepest first, and cut into parts
+    of that many, which need only the parts before them; then topmost ones are found by doubling. So the number of
+    rounds does not depend on how deep clusters lie in each other.
     """
     several = clusters.where(F.col("parent").isNull()).count() > 1
-    may = F.col("parent").isNotNull() | F.lit(several)
-    kids = clusters.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("c")).agg(F.count(F.lit(1)).alias("kids"))
-    rest = cut_lineage(clusters.join(kids, "c", "left").withColumn("kids", F.coalesce("kids", F.lit(0))))
-    keep = ["c", "parent", "best", "kept", "deepest"]
-    done = cut_lineage(rest.where("kids = 0").withColumn("best", F.when(may, F.col("stability")).otherwise(0.0)).withColumn("kept", may)
-                       .withColumn("deepest", F.col("death")).select(*keep))
-    rest = cut_lineage(rest.where("kids > 0"))
-    while not rest.isEmpty():
-        below = done.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("c")).agg(
-            F.count(F.lit(1)).alias("_n"), F.sum("best").alias("_best"), F.max("deepest").alias("_deepest"))
-        now = cut_lineage(rest.join(below, "c").where("_n = kids").withColumn("kept", may & (F.col("stability") >= F.col("_best")))
-                          .withColumn("best", F.when(F.col("kept"), F.col("stability")).otherwise(F.col("_best")))
-                          .withColumn("deepest", F.greatest("death", "_deepest")).select(*keep))
-        done = cut_lineage(done.unionByName(now))
-        rest = cut_lineage(rest.join(now.select("c"), "c", "left_anti"))
+    columns = ["c", "parent", "stability", "death", (F.col("parent").isNotNull() | F.lit(several)).alias("may")]
+    schema = "c long, parent long, best double, kept boolean, deepest double, chosen long"
+    none = [F.lit(False).alias("has"), F.lit(0.0).alias("below"), F.lit(0.0).alias("below_deepest")]
+    n = clusters.count()
+    if n <= task_rows:
+        return one_task(clusters.select(*columns, *none), _chooser(), schema).select("c", "chosen", "deepest")
+    rest = with_position(clusters.select(*columns).join(_depths(clusters), "c"), [F.desc("depth"), "c"], "_p")
+    rest = cut_lineage(rest.withColumn("_part", F.expr(f"_p div {task_rows}")).drop("_p", "depth"))
+    done = None
+    for part in range(-(-n // task_rows)):
+        now = rest.where(F.col("_part") == part).drop("_part")
+        if done is None:
+            now = now.select("*", *none)
+        else:
+            below = done.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("c")).agg(
+                F.sum("best").alias("below"), F.max("deepest").alias("below_deepest"), F.lit(True).alias("has"))
+            now = now.join(below, "c", "left").withColumns({"has": F.col("has").isNotNull(), "below": F.coalesce("below", F.lit(0.0)),
+                                                            "below_deepest": F.coalesce("below_deepest", F.lit(0.0))})
+        now = one_task(now, _chooser(), schema).drop("chosen")
+        done = cut_lineage(now if done is None else done.unionByName(now))
     state = cut_lineage(done.select("c", "deepest", F.col("parent").alias("up"), F.when(F.col("kept"), F.col("c")).alias("chosen")))
     while not state.where(F.col("up").isNotNull()).isEmpty():
         via = state.select(F.col("c").alias("up"), F.col("up").alias("_up"), F.col("chosen").alias("_chosen"))
@@ -100,7 +155,7 @@ def density_clusters(df: DataFrame, key: str, vec: str, min_size: int = 5, min_s
     near = neighbour_table(points, max(k or 2 * min_samples, min_samples), block_rows)
     forest, names = spanning_forest(reachability(near, min_samples), task_rows)
     clusters, left = condensed(*merge_tree(forest, names, task_rows), min_size, task_rows)
-    best = cut_lineage(selected(clusters))
+    best = cut_lineage(selected(clusters, task_rows))
     death = clusters.select(F.col("c").alias("chosen"), "death")
     scored = cut_lineage(left.join(best, "c", "left").join(death, "chosen", "left"))
     first = scored.where(F.col("chosen").isNotNull()).groupBy("chosen").agg(F.min("node").alias("_first"))

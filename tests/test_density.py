@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from factloom.operators.graph import follow, merge_tree, spanning_forest
-from factloom.stats.density import density_clusters
+from factloom.stats import density
+from factloom.stats.density import density_clusters, selected
 from factloom.stats.neighbours import nearest_neighbours
 
 
@@ -213,3 +214,26 @@ def test_density_clusters_copies_and_gaps(spark):
     assert all(got[100 + i] == got[3] for i in range(20)) and got[999] == (None, None, None)
     one = density_clusters(frame(spark, [(1, [0.0, 1.0])]), "id", "vec", 4).collect()
     assert [(r.cluster, r.probability, r.outlier_score) for r in one] == [(-1, 0.0, 1.0)]
+
+
+@pytest.mark.parametrize("task_rows", [7, 1000])
+def test_selected_in_deep_trees(spark, monkeypatch, task_rows):
+    rng, tree = random.Random(4), [(0, None, 5.0, 1.0), (500, None, 1.0, 2.0)]
+    for i in range(1, 61, 2):  # a chain: of two children one goes on
+        tree += [(i, max(i - 2, 0), rng.uniform(0, 4), rng.uniform(1, 9)), (i + 1, max(i - 2, 0), rng.uniform(0, 4), rng.uniform(1, 9))]
+    tree += [(501 + i, 500 + (i // 2), rng.uniform(0, 9 / (i + 1)), rng.uniform(1, 9)) for i in range(14)]
+    kids, best, kept, deepest, chosen = defaultdict(list), {}, {}, {}, {}
+    for c, p, _, _ in tree:
+        kids[p].append(c)
+    for c, p, stability, death in sorted(tree, reverse=True):
+        below = sum(best[k] for k in kids[c])
+        kept[c] = not kids[c] or stability >= below
+        best[c], deepest[c] = stability if kept[c] else below, max([death, *(deepest[k] for k in kids[c])])
+    for c, p, _, _ in sorted(tree):
+        chosen[c] = chosen.get(p) if chosen.get(p) is not None else c if kept[c] else None
+    written, cut = [], density.cut_lineage
+    monkeypatch.setattr(density, "cut_lineage", lambda df: written.append(df) or cut(df))
+    got = selected(spark.createDataFrame(tree, "c long, parent long, stability double, death double"), task_rows).collect()
+    assert len({c for c in chosen.values()}) > 5
+    assert {r.c: (r.chosen, r.deepest) for r in got} == {c: (chosen[c], pytest.approx(deepest[c])) for c in chosen}
+    assert len(written) <= 30  # one or more per level of the chain would be 60
