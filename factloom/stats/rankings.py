@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.order import join_null_safe, value_positions, with_position
@@ -96,21 +98,82 @@ def discordant_pairs(points: DataFrame, by=(), block_rows: int = BLOCK_ROWS) ->
     return found.groupBy(*by).agg(F.sum(F.col("discordant").cast(WIDE)).cast(WIDE).alias("discordant"))
 
 
-def rank_correlation(df: DataFrame, left: str, right: str, by=(), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Agreement of two orderings per group: n, concordant, discordant, tied_left, tied_right, tied_both, tau_b, rho.
+KEY_TYPES = "tinyint smallint int bigint float double string boolean date timestamp timestamp_ntz binary".split()
+
+
+def _sortable(df: DataFrame, col: str) -> Column | None:
+    """A column as longs or doubles of the same order; None for types that have no such form here."""
+    kind = df.schema[col].dataType
+    name = kind.typeName()
+    if name in ("byte", "short", "integer", "long"):
+        return F.col(col).cast("long")
+    if name in ("float", "double"):
+        return F.col(col).cast("double")
+    if name == "date":
+        return F.unix_date(col).cast("long")
+    if name == "timestamp":
+        return F.unix_micros(col)
+    if name == "decimal" and kind.precision <= 18:
+        return (F.col(col) * F.lit(Decimal(10 ** kind.scale))).cast("long")
+    return None
+
+
+def _whole_groups(by: list[str]):
+    """Ties, rank products and discordant pairs of all groups of a table (by, _l, _r), each as a whole."""
+    def run(table: pa.Table) -> pa.Table:
+        group = np.zeros(table.num_rows, dtype=np.int64)
+        for c in by:
+            code = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.unique(group * (code.max() + 1) + code, return_inverse=True)[1]
+        x, y = (table.column(c).to_numpy() for c in ("_l", "_r"))
+        order = np.lexsort((y, x, group))  # equal x ascend by y, so that they never count
+        group, x, y = group[order], x[order], y[order]
+
+        def differs(v):
+            return np.concatenate([[True], v[1:] != v[:-1]])
+
+        head = differs(group)
+        first = np.flatnonzero(head)
+        total = np.diff(np.append(first, len(group)))
+        of = np.repeat(total, total)
+
+        def ranked(new):
+            """Tied pairs and the sum of squares per group, and every row's doubled rank less the mean rank."""
+            start = np.flatnonzero(new)
+            n = np.diff(np.append(start, len(new)))
+            tops, size, whole = np.flatnonzero(head[start]), n.astype(np.float64), total.astype(np.float64)
+            squares = (whole ** 3 - whole - np.add.reduceat(size ** 3 - size, tops)) / 3
+            middle = 2 * (np.repeat(start, n) - np.repeat(first, total)) + np.repeat(n, n) - of
+            return np.add.reduceat(n * (n - 1) // 2, tops), squares, middle.astype(np.float64)
+
+        by_y = np.lexsort((y, group))  # groups keep their places
+        new_x, new_y = head | differs(x), head | differs(y[by_y])
+        tied_a, ss_a, middle_a = ranked(new_x)
+        tied_b, ss_b, sorted_b = ranked(new_y)
+        tied_both = ranked(new_x | differs(y))[0]
+        middle_b, ranks = np.empty(len(y)), np.empty(len(y), dtype=np.int64)
+        middle_b[by_y], ranks[by_y] = sorted_b, np.cumsum(new_y) - 1
+        discordant = np.add.reduceat(larger_before(ranks, np.ones(len(y), dtype=np.int64)), first)
+        out = table.select(by).take(pa.array(order[first]))
+        for name, found in (("tied_both", tied_both), ("_sab", np.add.reduceat(middle_a * middle_b, first)), ("_tied_a", tied_a), ("_na", total),
+                            ("_ss_a", ss_a), ("_tied_b", tied_b), ("_ss_b", ss_b), ("discordant", discordant)):
+            out = out.append_column(name, pa.array(found))
+        return out
+    return run
 
-    ``left`` and ``right`` are numbers, dates or timestamps. Rows where either is NULL or NaN are left out. Counts are pairs of
-    rows; pairs tied in both count in all three ties. tau_b is Kendall's coefficient with ties, rho is Spearman's: the
-    correlation of mean ranks. Both are NULL where one side is constant or there is one row. Equal rows are merged first,
-    ranks come from ``value_positions``, discordant pairs from ``discordant_pairs``; no group is gathered.
-    """
-    if not by:
-        return rank_correlation(df.withColumn("_all", F.lit(0)), left, right, ["_all"], block_rows).drop("_all")
-    by = list(by)
-    rows = df.select(*by, F.col(left).alias("_l"), F.col(right).alias("_r")).where("_l IS NOT NULL AND _r IS NOT NULL")
-    for c in ("_l", "_r"):
-        if rows.schema[c].dataType.typeName() in ("float", "double"):
-            rows = rows.where(~F.isnan(c))
+
+def _sums_of_small(rows: DataFrame, by: list[str], n: int, block_rows: int) -> DataFrame:
+    """The sums of groups of ``block_rows`` rows at most, ``n`` rows in all: groups share parts by a hash, in one shuffle."""
+    parts = 4 * n // block_rows + 1  # about a quarter of a block each, with the largest group less than two blocks
+    table = rows.select(*by, *[_sortable(rows, c).alias(c) for c in ("_l", "_r")])
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by), "tied_both long, _sab double, _tied_a long, _na long",
+                        "_ss_a double, _tied_b long, _ss_b double, discordant long"])
+    found = table.groupBy(F.pmod(F.xxhash64(*by), F.lit(parts)).alias("_part")).applyInArrow(_whole_groups(by), schema)
+    return found.withColumns({c: F.col(c).cast(WIDE) for c in ("tied_both", "_tied_a", "_tied_b", "discordant")})
+
+
+def _sums_of_large(rows: DataFrame, by: list[str], block_rows: int) -> DataFrame:
+    """The sums of groups of any size, from positions in value buckets and blocks."""
     merged = cut_lineage(rows.groupBy(*by, "_l", "_r").agg(F.count(F.lit(1)).alias("w")))
     points, ties = merged, {}
     for c, at in (("_l", "a"), ("_r", "b")):
@@ -128,6 +191,40 @@ def rank_correlation(df: DataFrame, left: str, right: str, by=(), block_rows: in
                                    F.sum(F.col("_ma") * F.col("_mb") * F.col("w")).alias("_sab"))
     for other in (ties["a"], ties["b"], discordant_pairs(points, by, block_rows)):
         sums = join_null_safe(sums, other, by)
+    return sums.drop("_nb")
+
+
+def rank_correlation(df: DataFrame, left: str, right: str, by=(), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Agreement of two orderings per group: n, concordant, discordant, tied_left, tied_right, tied_both, tau_b, rho.
+
+    ``left`` and ``right`` are numbers, dates or timestamps. Rows where either is NULL or NaN are left out. Counts are pairs of
+    rows; pairs tied in both count in all three ties. tau_b is Kendall's coefficient with ties, rho is Spearman's: the
+    correlation of mean ranks. Both are NULL where one side is constant or there is one row. Groups of ``block_rows`` rows at
+    most are counted whole, many of them by one task. In larger ones equal rows are merged first, ranks come from
+    ``value_positions`` and discordant pairs from ``discordant_pairs``; none of them is gathered.
+    """
+    if not by:
+        return rank_correlation(df.withColumn("_all", F.lit(0)), left, right, ["_all"], block_rows).drop("_all")
+    by = list(by)
+    rows = df.select(*by, F.col(left).alias("_l"), F.col(right).alias("_r")).where("_l IS NOT NULL AND _r IS NOT NULL")
+    for c in ("_l", "_r"):
+        if rows.schema[c].dataType.typeName() in ("float", "double"):
+            rows = rows.where(~F.isnan(c))
+    if all(_sortable(rows, c) is not None for c in ("_l", "_r")) and all(rows.schema[c].dataType.simpleString() in KEY_TYPES for c in by):
+        rows = rows.withColumns({c: (F.col(c) + 0).cast(rows.schema[c].dataType) for c in by if rows.schema[c].dataType.typeName() in ("float", "double")})
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        large = F.col("_n") > block_rows
+        few, many = sizes.agg(F.sum(F.when(~large, F.col("_n"))), F.count(F.when(large, F.lit(1)))).first()
+        if many:
+            hot = cut_lineage(sizes.where(large).select(*by))  # less than one per block
+            sums = _sums_of_large(join_null_safe(rows, hot, by, "left_semi"), by, block_rows)
+            if few:
+                small = _sums_of_small(join_null_safe(rows, hot, by, "left_anti"), by, few, block_rows)
+                sums = sums.unionByName(small)
+        else:
+            sums = _sums_of_small(rows, by, few or 0, block_rows)
+    else:
+        sums = _sums_of_large(rows, by, block_rows)
     pairs = _pairs("_na")
     agree = pairs - F.col("_tied_a") - F.col("_tied_b") + F.col("tied_both") - F.col("discordant")
     free = [(pairs - F.col(f"_tied_{c}")).cast("double") for c in ("a", "b")]

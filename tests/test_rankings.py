@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.stats.rankings import larger_before, rank_correlation
 
@@ -72,3 +73,24 @@ def test_larger_before():
     rng = np.random.default_rng(1)
     r, w = rng.integers(0, 40, 200), rng.integers(1, 5, 200)
     assert larger_before(r, w).tolist() == [int(w[:i][r[:i] > r[i]].sum()) for i in range(200)]
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "date", "timestamp", "decimal(9,2)", "decimal(30,2)"])
+def test_small_groups_take_no_blocks(spark, monkeypatch, kind):
+    """Groups that fit a block are counted whole; only larger ones are placed and cut into blocks."""
+    from factloom.stats import rankings
+    far = 0 if kind == "decimal(30,2)" else 1 << 60  # beside a NULL, keys that no double can hold
+    rows = [(None if g is None else far + len(g), float(int(x * 4)), y) for g, x, y in sample(300)]
+    df = spark.createDataFrame(rows, "g bigint, x double, y bigint")
+    cast = {"date": F.date_from_unix_date(F.col("x").cast("int")), "timestamp": F.timestamp_micros(F.col("x").cast("long"))}
+    df = df.withColumn("x", cast.get(kind, F.col("x").cast(kind)))
+    placed, general = [], rankings._sums_of_large
+    monkeypatch.setattr(rankings, "_sums_of_large", lambda df, *a: placed.append(df.select("g").distinct().count()) or general(df, *a))
+    frame = pd.DataFrame(rows, columns=["g", "x", "y"]).assign(g=pd.Series([g for g, _, _ in rows], dtype=object))
+    for block_rows in (1000, 60):
+        got = {r.g: r for r in rank_correlation(df, "x", "y", ["g"], block_rows).collect()}
+        assert set(got) == {g for g, _, _ in rows}
+        for g in got:
+            check(got[g], brute(frame[frame["g"].isna() if g is None else frame["g"] == g]))
+    larger = (frame.groupby("g", dropna=False).size() > 60).sum()
+    assert 0 < larger < len(got) and placed == ([len(got)] * 2 if kind == "decimal(30,2)" else [larger])
