@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import vectors as vx
+from factloom.operators import order
 from factloom.stats import errors, pairs, tests as stests, tfidf, vectors as vs
 
 
@@ -176,6 +177,29 @@ def test_embeddings_by_lookup(spark):
     assert np.allclose(two["c"], np.concatenate([np.array(b) @ pad for b in basis]))
 
 
+@pytest.mark.parametrize("limit", [vs.MAX_BOOK_VALUES, 10])
+def test_embeddings_carry_no_vector_per_token(spark, monkeypatch, limit):
+    rng, k = np.random.default_rng(5), 3
+    book = {f"w{i}": rng.normal(size=4) for i in range(30)}
+    texts = {i: [f"w{j}" for j in rng.integers(0, 40, rng.integers(0, 25))] for i in range(40)}  # w30 and on are unknown
+    df = spark.createDataFrame(list(texts.items()), "id long, t array<string>")
+    words = spark.createDataFrame([(w, v.tolist()) for w, v in book.items()], "word string, vector array<double>")
+    placed, real = [], order.entity_windows
+    monkeypatch.setattr(order, "entity_windows", lambda df, *a, **o: placed.append(df.columns) or real(df, *a, **o))
+    monkeypatch.setattr(vs, "MAX_BOOK_VALUES", limit)
+    got = {r.id: r.embedding for r in vs.embed_by_lookup(df, "id", "t", words, k=k).collect()}
+    mean = {r.id: r.embedding for r in vs.embed_by_lookup(df, "id", "t", words).collect()}
+    for i, t in texts.items():
+        x = np.array([book[w] for w in t if w in book])
+        if not len(x):
+            assert got[i] is None and mean[i] is None
+            continue
+        n = max(len(x), k)
+        basis = [[math.sqrt((1 if j == 0 else 2) / n) * math.cos(math.pi * j * (2 * s + 1) / (2 * n)) for s in range(len(x))] for j in range(k)]
+        assert np.allclose(got[i], (np.array(basis) @ x).ravel()) and np.allclose(mean[i], x.mean(axis=0))
+    assert placed and all("vector" not in columns for columns in placed)
+
+
 def test_welch_and_cramer(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(1, 2, 80), rng.normal(0, 1, 50)
