@@ -198,6 +198,8 @@ def test_embeddings_carry_no_vector_per_token(spark, monkeypatch, limit):
         basis = [[math.sqrt((1 if j == 0 else 2) / n) * math.cos(math.pi * j * (2 * s + 1) / (2 * n)) for s in range(len(x))] for j in range(k)]
         assert np.allclose(got[i], (np.array(basis) @ x).ravel()) and np.allclose(mean[i], x.mean(axis=0))
     assert placed and all("vector" not in columns for columns in placed)
+    for j in (0, k):  # an aggregate of objects would sort whole vectors
+        assert "ObjectHashAggregate" not in vs.embed_by_lookup(df, "id", "t", words, k=j)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_welch_and_cramer(spark):
