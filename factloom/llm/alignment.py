@@ -9,12 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import saved
-from .vocab import BAD, ByteLevel, Pieces, kept
+from .vocab import BAD, SECOND, Both, ByteLevel, Pieces, kept
 
 BATCH_TOKENS = 1 << 20  # documents are aligned together until they have so many tokens
 GROUP_CELLS = 1 << 22  # links of ids that are made at once
 
 
+def _holders(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Number of the token, of those that end at ``ends``, that holds the last byte of each token of the other side."""
+    at_byte = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    return at_byte[others - 1].astype(np.int64)
+
+
 def terminals(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
     """For all tokens of A, then of B, the B token that ends their group.
 
@@ -24,9 +30,8 @@ def terminals(a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
     after the other are one tiling, as both sides end with each document.
     """
     n = len(a_end)
-    a_start, b_start = np.append(0, a_end[:-1]), np.append(0, b_end[:-1])
-    to_b = np.searchsorted(b_start, a_end, "left") - 1  # reaches at least as far as the A token
-    to_a = np.searchsorted(a_start, b_end, "left") - 1
+    to_b = _holders(b_end, a_end)  # reaches at least as far as the A token
+    to_a = _holders(a_end, b_end)
     own = np.arange(n, n + len(b_end))
     pointer = np.concatenate([n + to_b, np.where(a_end[to_a] > b_end, to_a, own)])
     while True:
@@ -60,7 +65,8 @@ def linked_ids(a_group, a_ids, b_group, b_ids, groups: int, owner: np.ndarray):
     """
     ga, ia, ca = _distinct(a_group, a_ids)
     gb, ib, cb = _distinct(b_group, b_ids)
-    first, many = np.searchsorted(gb, np.arange(groups)), np.bincount(gb, minlength=groups)
+    many = np.bincount(gb, minlength=groups)
+    first = np.cumsum(many) - many
     per_row = many[ga]
     cut = np.searchsorted(np.cumsum(per_row), np.arange(GROUP_CELLS, int(per_row.sum()) + GROUP_CELLS, GROUP_CELLS), "left") + 1
     out, start = [], 0
@@ -81,8 +87,15 @@ def _merged(parts):
     owner, key, links = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*parts) if parts else ([], [], [])))
     if not len(key):
         return owner, key, links
-    wide = owner << 34 | key >> 32 << 17 | key & 0xFFFFFFFF  # in one number where both vocabularies have fewer than 2^17 ids
-    order = np.argsort(wide) if int((key | key >> 32 & 0xFFFFFFFF).max() & 0xFFFFFFFF) < 1 << 17 and int(owner.max()) < 1 << 29 else np.lexsort((key, owner))
+    low, small = int(links.max()).bit_length(), (1 << 17) - 1
+    if int(((key | key >> 32) & 0xFFFFFFFF).max()) <= small and int(owner.max()).bit_length() + 34 + low < 64:
+        # in one number, which sorts without an order, where both vocabularies have at most 2^17 ids
+        wide = np.sort((owner << 34 | key >> 32 << 17 | key & small) << low | links)
+        links, wide = wide & ((1 << low) - 1), wide >> low
+        first = np.flatnonzero(np.append(True, wide[1:] != wide[:-1]))
+        wide = wide[first]
+        return wide >> 34, (wide >> 17 & small) << 32 | wide & small, np.add.reduceat(links, first)
+    order = np.lexsort((key, owner))
     owner, key, links = owner[order], key[order], links[order]
     new = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))
     return owner[new], key[new], np.add.reduceat(links, np.flatnonzero(new))
@@ -92,26 +105,29 @@ class Aligner:
     """Both encoders, the byte lengths of their ids, and the ids as text."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = kept(ByteLevel, path_a, True), kept(Pieces, path_b)
-        self.len_a, self.len_b = (np.array([len(e) for e in x.entries()], dtype=np.int64) for x in (self.a, self.b))
+        a, b = kept(ByteLevel, path_a, True), kept(Pieces, path_b)
+        self.both = Both(a, b)
+        self.len_a, self.len_b = (np.array([len(e) for e in x.entries()], dtype=np.int64) for x in (a, b))
         size = max(len(self.len_a), len(self.len_b))
         self.names = np.array([f"{i}{s}" for s in ",|;" for i in range(size)], dtype=object)
         self.size = size
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides, or nothing where one does not spell a blank and the text."""
-        if not text:
-            return None
-        b = np.frombuffer(self.b.ids(text), "<u4")
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Per text: ids of both sides, or nothing where it is empty or one side does not spell a blank and the text."""
+        return [self._sides(np.frombuffer(ids, "<u4"), t) if t else None for ids, t in zip(self.both.ids(texts), texts)]
+
+    def _sides(self, mixed: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        second = mixed >= SECOND
+        a, b = mixed[~second], mixed[second]
         if not len(b) or (b == BAD).any():
             return None
-        a = np.frombuffer(self.a.ids(" " + text), "<u4")
+        b ^= np.uint32(SECOND)
         wide = len(text.encode("utf-8", "replace")) + 1  # the byte level spells every text; the lengths are checked all the same
         return (a, b) if self.len_a[a].sum() == wide == self.len_b[b].sum() else None
 
     def align(self, texts: list[str | None], with_groups: bool = False):
         """Per text: n_a, n_b, n_groups, n_links, groups as text or its digest, pairs of ids and their links."""
-        found = [self.tokens(t or "") for t in texts]
+        found = self.tokens([t or "" for t in texts])
         full = [k for k, f in enumerate(found) if f]
         n_a, n_b, n_groups = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
         words, pairs, counts = [""] * len(texts), [()] * len(texts), [()] * len(texts)
@@ -123,11 +139,11 @@ class Aligner:
             owner = np.empty(total, dtype=np.int64)
             owner[of_b] = np.repeat(full, n_b[full])
             n_groups[:] = np.bincount(owner, minlength=len(texts))
-            links = np.bincount(of_a, minlength=total) * np.bincount(of_b, minlength=total)
-            np.add.at(n_links, owner, links)
+            of_both = np.bincount(of_a, minlength=total), np.bincount(of_b, minlength=total)
+            np.add.at(n_links, owner, of_both[0] * of_both[1])
             who, key, times = linked_ids(of_a, a, of_b, b, total, owner)
             ends = np.searchsorted(who, np.arange(len(texts) + 1))
-            listed = self._listed(of_a, a, of_b, b)
+            listed = self._listed(of_a, a, of_b, b, *of_both)
             at = 0
             for k in full:
                 pairs[k], counts[k] = key[ends[k]:ends[k + 1]], times[ends[k]:ends[k + 1]]
@@ -137,14 +153,15 @@ class Aligner:
                 at += size
         return n_a, n_b, n_groups, n_links, words, pairs, counts
 
-    def _listed(self, of_a, a, of_b, b) -> list[str]:
+    def _listed(self, of_a, a, of_b, b, many_a, many_b) -> list[str]:
         """All ids group by group, those of A first, each with the sign behind it."""
-        group, side, ids = np.concatenate([of_a, of_b]), np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
-        order = np.argsort(group * 2 + side, kind="stable")
-        group, side, ids = group[order], side[order], ids[order]
-        sign = np.full(len(ids), 2)
-        sign[:-1] = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
-        return self.names[sign * self.size + ids].tolist()
+        to_a, to_b = np.cumsum(many_a), np.cumsum(many_b)
+        at_a, at_b = np.arange(len(a)) + (to_b - many_b)[of_a], np.arange(len(b)) + to_a[of_b]
+        cell = np.zeros(len(a) + len(b), dtype=np.int64)  # a comma, if nothing else
+        cell[to_a + to_b - many_b - 1], cell[to_a + to_b - 1] = self.size, 2 * self.size
+        cell[at_a] += a
+        cell[at_b] += b
+        return self.names[cell].tolist()
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, text: str = "text", with_groups: bool = False) -> DataFrame:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import partial
+from itertools import accumulate, chain
 from sys import byteorder
 
 import numpy as np
 
 CACHED_CHUNKS = 600_000  # per dictionary and Python worker, about 200 bytes each
 BAD = 0xFFFFFFFF  # stands for a chunk whose tokens do not spell it
+SECOND = 1 << 31  # marks the ids of the second of two vocabularies
 
 # A blank after something else than white space always starts a new piece in both vocabularies. Texts with white space
 # after a blank, a blank at the end or what may be a special token are encoded as a whole.
 HARD = re.compile(r" (?:[\s\u180e\u2581]|$)|<\||\u2581 ")
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 WORD = re.compile(f"[{LATIN}]+")
+HEAD = re.compile(f"(?<![^ ])[{LATIN}]+")  # letters behind a blank or at the start
 SIGNS = r"!-&(-/:-@\[-`{-~"  # punctuation other than the apostrophe
 
 
@@ -71,17 +75,18 @@ class ByteLevel:
         self.tokenizer.encode_special_tokens = plain
         self.merges, self.signs = self.tokenizer.model, {b: c for c, b in byte_alphabet().items()}
         self.first = Chunks(self.chunk, SIGNS)
-        self.later = Chunks(lambda c: self.chunk(" " + c), SIGNS, self.first)
+        self.later = Chunks(partial(self.chunk, blank=" "), SIGNS, self.first)
         self._entries: list[bytes] | None = None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str, blank: str = "") -> bytes:
         """Letters, with or without a blank before them, are one piece of the pre-tokenizer and go straight to the merges."""
-        if WORD.fullmatch(chunk, chunk[0] == " "):
-            return packed([t.id for t in self.merges.tokenize(chunk.encode().decode("latin-1").translate(self.signs))])
-        return self.whole(chunk)
+        if WORD.fullmatch(chunk):
+            piece = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.signs)
+            return packed([t.id for t in self.merges.tokenize(self.signs[32] + piece if blank else piece)])
+        return self.whole(blank + chunk)
 
     def ids(self, text: str) -> bytes:
         """Ids of a text, equal to those of encoding it as a whole."""
@@ -107,29 +112,42 @@ class Pieces:
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self._entries = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(names)]
+        self.lengths = np.array([len(e) for e in self._entries], dtype=np.int64)
         # merges only make pieces of the model, so text comes apart between signs that no piece has side by side
         joined = {m[1] for p in names for m in re.finditer(f"(?<=[{LATIN}])(?=([{SIGNS}]))", p)}
-        signs = "".join("\\" + c for c in map(chr, range(33, 127)) if re.match(f"[{SIGNS}]", c) and c not in joined)
+        self.signs = "".join("\\" + c for c in map(chr, range(33, 127)) if re.match(f"[{SIGNS}]", c) and c not in joined)
         self.apart = not any("\n" in p for p in names)
         self.line = self.model.encode("\n")
-        first = Chunks(self.inner, signs)
-        self.later = Chunks(self.checked, signs, first)
+        first = Chunks(self.inner, self.signs)
+        self.later = Chunks(self.checked, self.signs, first)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, num_threads=1), dtype="<u4").tobytes()
 
-    def spelt(self, ids: list[int], text: str) -> bytes:
+    def spelt(self, ids: list[int], text: str, mark: int = 0) -> bytes:
         if b"".join([self._entries[i] for i in ids]) != text.encode("utf-8", "replace"):
             ids = [BAD]
-        return packed(ids)
+        return packed([i | mark for i in ids] if mark else ids)
 
-    def checked(self, text: str) -> bytes:
+    def checked(self, text: str, mark: int = 0) -> bytes:
         """Ids of a text, or one BAD if they do not spell a blank and the text."""
-        return self.spelt(self.model.encode(text, num_threads=1), " " + text)
+        return self.spelt(self.model.encode(text, num_threads=1), " " + text, mark)
 
-    def inner(self, text: str) -> bytes:
+    def inner(self, text: str, mark: int = 0) -> bytes:
         """Ids of what follows a newline or letters, without a blank before it."""
-        return self.spelt(self.model.encode("\n" + text, num_threads=1)[len(self.line):], text)
+        return self.spelt(self.model.encode("\n" + text, num_threads=1)[len(self.line):], text, mark)
+
+    def words(self, words: list[str], mark: int = 0) -> list[bytes]:
+        """Ids of each of several texts as ``checked`` gives them, from one call of the model."""
+        found = self.model.encode(words, num_threads=1) if words else []
+        flat = np.array([*chain.from_iterable(found)], dtype="<u4")
+        ends, sizes = np.cumsum([len(f) for f in found], dtype=np.int64), np.append(0, np.cumsum(self.lengths[flat]))
+        texts = [b" " + w.encode("utf-8", "replace") for w in words]
+        # all spell all, and each has the bytes of its own text
+        if b"".join([self._entries[i] for i in flat.tolist()]) != b"".join(texts) or sizes[ends].tolist() != [*accumulate(map(len, texts))]:
+            return [self.spelt(f, " " + w, mark) for f, w in zip(found, words)]
+        data, ends = (flat | np.uint32(mark)).tobytes(), (4 * ends).tolist()
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as ``checked`` gives them for the whole, with a BAD where a chunk is not spelt."""
@@ -141,6 +159,34 @@ class Pieces:
         return self._entries
 
 
+class Both:
+    """Ids of a byte-level file for a blank and a text, and of a sentencepiece model for the text, from one cache.
+
+    A chunk holds the ids of the first, then those of the second with SECOND set; chunks are looked up once for both.
+    """
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = a, b
+        self.first = Chunks(lambda c: a.chunk(c) + b.inner(c, SECOND), b.signs)
+        self.later = Chunks(lambda c: a.chunk(c, " ") + b.checked(c, SECOND), b.signs, self.first)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encodes the new words that ``chunks`` begin with, all in one call of the model."""
+        words = list({*HEAD.findall(" ".join(chunks.difference(self.later)))}.difference(self.later))
+        for word, second in zip(words, self.b.words(words, SECOND)):
+            self.later[word] = self.a.chunk(word, " ") + second
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of both sides of every text, in any mixture of the sides; a BAD where the second does not spell a chunk."""
+        parts = [None if not self.b.apart or HARD.search(" " + t) else t.split(" ") for t in texts]
+        self.learn({*chain.from_iterable(p for p in parts if p)})
+        found = [b"".join(map(self.later.__getitem__, p)) if p else self.a.whole(" " + t) + self.b.checked(t, SECOND)
+                 for p, t in zip(parts, texts)]
+        while len(self.later) > CACHED_CHUNKS:  # the last ones were learnt for these texts only
+            self.later.popitem()
+        return found
+
+
 _KEPT: dict = {}  # lives as long as the Python worker
 
 

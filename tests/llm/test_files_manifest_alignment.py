@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import alignment, manifest, patched
+from factloom.llm import alignment, manifest, patched, vocab
 from factloom.llm.common import fresh_folder
 from factloom.llm.queries import tokenizer_path
-from factloom.llm.vocab import ByteLevel, Pieces
+from factloom.llm.vocab import BAD, SECOND, Both, ByteLevel, Pieces
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _id long, _text string, _group string, _key string, "
@@ -106,6 +106,45 @@ def test_encoders_equal_whole_texts(odd):
         assert (not spelt and alignment.BAD in found) or found.tolist() == whole
 
 
+class Counted:
+    """A sentencepiece model that notes what it is called with."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, []
+
+    def encode(self, text, **more):
+        self.calls.append(text)
+        return self.model.encode(text, **more)
+
+
+def test_both_sides_from_one_cache(odd, monkeypatch):
+    """Ids of both sides are those of whole texts, also when the cache is full."""
+    a, b = ByteLevel(tokenizer_path(A), True), Pieces(tokenizer_path(B))
+    texts = [t for _, t, *_ in odd if t] + ["One two, three.\nFour", "çà et là, ×2 ªb Ωμέγα", "", "one two ones"]
+    for size in (600_000, 7):
+        monkeypatch.setattr(vocab, "CACHED_CHUNKS", size)
+        both = Both(a, b)
+        for part in (texts[:30], texts[30:], texts):
+            for t, ids in zip(part, both.ids(part)):
+                ids = np.frombuffer(ids, "<u4")
+                assert ids[ids < SECOND].tobytes() == a.whole(" " + t)
+                second, whole = ids[ids >= SECOND], np.frombuffer(b.checked(t), "<u4")
+                assert (BAD in second and BAD in whole) or (second ^ np.uint32(SECOND)).tolist() == whole.tolist()
+            assert len(both.later) <= size and len(both.first) <= size
+
+
+def test_new_words_are_encoded_in_one_call(monkeypatch):
+    b = Pieces(tokenizer_path(B))
+    b.model = Counted(b.model)
+    both = Both(ByteLevel(tokenizer_path(A), True), b)
+    for _ in range(2):
+        both.ids(["sun over moon", "moon over stone", "sun"])
+    assert [sorted(c) for c in b.model.calls] == [["moon", "over", "stone", "sun"]]
+    assert b.words(["sun", "Hügel"]) == [b.checked("sun"), b.checked("Hügel")] and b.words([]) == []
+    monkeypatch.setattr(b, "_entries", [e + b"x" if e == b" sun" else e for e in b._entries])
+    assert b.words(["sun", "moon"]) == [b.checked("sun"), b.checked("moon")] == [vocab.packed([BAD]), b.checked("moon")]
+
+
 def sha(*parts):
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
@@ -236,3 +275,15 @@ def test_linked_ids_in_slices(monkeypatch):
         monkeypatch.setattr(alignment, "GROUP_CELLS", cells)
         who, key, n = alignment.linked_ids(ga, ia, gb, ib, 30, owner)
         assert dict(zip(zip(who.tolist(), key.tolist()), n.tolist())) == expected
+
+
+@pytest.mark.parametrize("links", [1, 3, 1 << 40])
+@pytest.mark.parametrize("ids", [5, 1 << 17, 1 << 20])
+def test_merged_links(links, ids):
+    rng = np.random.default_rng(6)
+    owner, a, b, n = rng.integers(0, 5, 400), rng.integers(ids - 5, ids, 400), rng.integers(ids - 5, ids, 400), rng.integers(1, links + 1, 400)
+    expected = Counter()
+    for o, i, j, m in zip(owner.tolist(), a.tolist(), b.tolist(), n.tolist()):
+        expected[o, i << 32 | j] += m
+    who, key, found = alignment._merged([(owner[:100], (a << 32 | b)[:100], n[:100]), (owner[100:], (a << 32 | b)[100:], n[100:])])
+    assert list(zip(zip(who.tolist(), key.tolist()), found.tolist())) == sorted(expected.items())
