@@ -106,6 +106,27 @@ def test_encoders_equal_whole_texts(odd):
         assert (not spelt and alignment.BAD in found) or found.tolist() == whole
 
 
+class Noted(dict):
+    """The byte alphabet, which notes what it is asked for."""
+
+    def __getitem__(self, key):
+        self.asked = getattr(self, "asked", set()) | {key}
+        return super().__getitem__(key)
+
+
+def test_plain_letters_go_to_the_merges_as_they_are():
+    """Letters below 128 stand for their own bytes; only a blank and other letters are looked up."""
+    for plain in (True, False):
+        e = ByteLevel(tokenizer_path(A), plain)
+        e.signs = Noted(e.signs)
+        for t in ("Sun", "sun over Stone", "moon, sun.\nstone"):
+            assert e.ids(t) == e.whole(t)
+        assert e.signs.asked <= {32}
+        for t in ("Hügel", "a Hügel für été"):
+            assert e.ids(t) == e.whole(t)
+        assert 0xc3 in e.signs.asked
+
+
 class Counted:
     """A sentencepiece model that notes what it is called with."""
 
