@@ -168,7 +168,8 @@ def source_mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: floa
                                            F.expr(f"(start + size - 1) div {block_words}"))).alias("block"))
               .withColumn("at", F.greatest(F.col("start"), F.col("block") * b))
               .withColumn("stop", F.least(F.col("end"), (F.col("block") + 1) * b)))
-    spans = (pieces.join(slots, ["source_at", "block"])
+    # Spark guesses the size of slots from the few rows that make them and would send them all to the driver
+    spans = (pieces.join(slots.hint("merge"), ["source_at", "block"])
              .withColumn("n_words", F.least(F.col("stop"), F.col("block") * b + F.col("words")) - F.col("at"))
              .where("n_words > 0")
              .select("row_source", "row_bucket", "row_number", "shard", "epoch", "block",

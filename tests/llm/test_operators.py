@@ -151,6 +151,16 @@ def test_mix_meets_targets(spark, odd):
     assert mixing.taken_words(empty_rows, empty_spans).count() == mixing.mixed_documents(frame(spark, []), empty_rows, empty_spans).count() == 0
 
 
+def test_slots_of_a_mix_stay_off_the_driver(spark):
+    """Slots grow with the words, whatever Spark guesses from the few rows that make them; they are never broadcast."""
+    docs = frame(spark, [(i, "w " * 50, "en", "ab"[i % 2]) for i in range(200)])
+    _, spans = mixing.source_mix(docs, block_words=16, slots_per_shard=256)
+    assert len(spans.collect()) > 200
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "block" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
 def brute_classes(rows):
     parts = []
     for i, t, *_ in rows:
