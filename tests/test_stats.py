@@ -56,6 +56,28 @@ def test_near_pairs_travel_once_per_block_not_per_root_of_the_rows(spark, monkey
     assert got == {(a, b) for a in range(400) for b in range(a + 1, 400) if far[a, b] <= 2.5} and len(got) > 50
 
 
+@pytest.mark.parametrize("rows", [
+    [(1, [0.0, 0.5]), (2, [0.0, 1.0]), (4, [1.0, 1.0]), (3, [9.0, 9.0]), (5, None)],
+    [(1, [0.0, 0.5]), (1, [0.0, 0.5]), (2, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None), (3, [0.5, 0.5])],
+    [(None, [0.0, 0.5]), (None, [0.0, 1.0]), (1, [0.0, 0.0]), (2, [0.0, 1.5]), (4, [0.0, 1.5])]])
+def test_carried_vectors_are_those_of_the_join(spark, monkeypatch, rows):
+    """One row per key, repeated keys and null keys; pairs leave in small parts."""
+    monkeypatch.setattr(pairs, "PART_PAIRS", 2)
+    df = spark.createDataFrame(rows, "id int, vec array<float>")
+    joined = pairs.attach_pair_vectors(pairs.near_pairs(df, "id", "vec", 2.0), df, "id", ["vec"])
+    carried = pairs.attach_pair_vectors(pairs.near_pairs(df, "id", "vec", 2.0, carry=True), df, "id", ["vec"])
+    assert carried.dtypes == joined.dtypes and carried.count()
+    assert sorted(map(str, carried.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_pairs_are_not_joined_with_their_vectors(spark):
+    from factloom.queries import QUERIES
+    near = QUERIES["interpolated"](spark, "/root/testdata/sf0.001")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "SortMergeJoin" not in plan and "id_b" in plan
+    assert plan.count("BroadcastHashJoin") <= 1  # the sizes of cells; two more before, or sorts and merges, for vectors
+
+
 def test_pair_table_keeps_named_columns_only(spark):
     df = spark.createDataFrame([(0, 1, 2.0, [1.0]), (0, 2, 5.0, [2.0])], "id_a int, id_b int, d double, wide array<double>")
     out = pairs.pair_table(df, {"far": F.col("d") * 2}, ["id_a", "id_b"])
