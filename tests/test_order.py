@@ -100,3 +100,16 @@ def test_bad_arguments(table):
         order.value_positions(table, "v", buckets=10)
     with pytest.raises(ValueError):
         order.entity_windows(table, ["g"], ["id"], {}, before=9, chunk_rows=3)
+
+
+@pytest.mark.parametrize("hot", [10, 4_000_000])
+def test_rank_of_a_stored_table_joins_no_rows(spark, table, monkeypatch, hot):
+    """Ties, NULL and NaN rank as in average_rank; a third of the rows with one value are merged first where that is hot."""
+    monkeypatch.setattr(order, "HOT_ROWS", hot)
+    df = table.unionByName(spark.createDataFrame([(9004, "g1", float("nan"), 1), (9005, "g1", -0.0, 1), (9006, "g1", 0.0, 1)], table.schema))
+    ranked = order.average_rank_of_stored(df, "v", "r", 16)
+    want = {r.id: r.r for r in order.average_rank(df, "v", "r").collect()}
+    assert {r.id: r.r for r in ranked.collect()} == want and ranked.columns == [*df.columns, "r"] and len(want) == 906
+    grouped = ranked._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [v")
+    assert (grouped > 0) == (hot == 10)  # equal values merged, then joined
+    assert order.average_rank_of_stored(df.where("id < 0"), "v", "r").count() == 0
