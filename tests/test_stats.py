@@ -224,6 +224,35 @@ def test_embeddings_carry_no_vector_per_token(spark, monkeypatch, limit):
         assert "ObjectHashAggregate" not in vs.embed_by_lookup(df, "id", "t", words, k=j)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_embeddings_of_a_large_book_match_those_of_a_small_one(spark, monkeypatch):
+    """Words used most are sent; repeated words, texts of one key, null keys and null vectors give the same sums."""
+    rng = np.random.default_rng(8)
+    rows = [(f"w{i % 25}", [float(v) for v in rng.normal(size=4)]) for i in range(30)] + [("w3", None), (None, [1.0] * 4)]
+    texts = [(i // 2 if i % 9 else None, [f"w{min(j, 29)}" for j in rng.geometric(0.15, rng.integers(0, 20))] + [None]) for i in range(40)]
+    words = spark.createDataFrame(rows, "word string, vector array<double>").coalesce(1)
+    df = spark.createDataFrame(texts, "id long, t array<string>")
+    want = sorted(map(str, vs.embed_by_lookup(df, "id", "t", words, k=2).withColumn(
+        "embedding", F.transform("embedding", lambda x: F.round(x, 9) + 0.0)).collect()))
+    monkeypatch.setattr(vs, "MAX_BOOK_VALUES", 10)
+    for most in (1, 40, 1_000):
+        monkeypatch.setattr(vs, "SENT_VALUES", most)
+        got = vs.embed_by_lookup(df, "id", "t", words, k=2)
+        assert sorted(map(str, got.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 9) + 0.0)).collect())) == want
+        assert got.columns == ["id", "t", "embedding"]
+
+
+def test_only_rare_words_bring_their_vectors(spark, monkeypatch):
+    """A large book is not joined with every token: rows of words used most are merged and meet a broadcast."""
+    monkeypatch.setattr(vs, "MAX_BOOK_VALUES", 10)
+    df = spark.createDataFrame([(i, ["a"] * 30 + ["b"] * 20 + [f"r{i}"]) for i in range(20)], "id long, t array<string>")
+    words = spark.createDataFrame([(w, [1.0, float(i)]) for i, w in enumerate(["a", "b", *[f"r{i}" for i in range(20)]])], "word string, vector array<double>")
+    seen, real = [], order.entity_windows
+    monkeypatch.setattr(order, "entity_windows", lambda df, *a, **o: seen.append(df) or real(df, *a, **o))
+    monkeypatch.setattr(vs, "SENT_VALUES", 4)
+    assert vs.embed_by_lookup(df, "id", "t", words, k=1).where("embedding is not null").count() == 20
+    assert {(r["_sent"], r["count"]) for r in seen[0].groupBy("_sent").count().collect()} == {(True, 1000), (False, 20)}
+
+
 def test_welch_and_cramer(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(1, 2, 80), rng.normal(0, 1, 50)
