@@ -1,4 +1,6 @@
 import math
+import random
+import re
 from datetime import date
 
 import pytest
@@ -142,3 +144,46 @@ def test_markup_short_ways_give_the_same(spark):
     nests = ["<x a='1'>p</x><x/>", "<x>a<x>b</x>c</x>", "none", "</x>", None]
     rows = spark.createDataFrame([(t,) for t in nests], "t string").select(markup.nested_elements("t", "x").alias("e")).collect()
     assert [None if r.e is None else [e.inner for e in r.e] for r in rows] == [["p", ""], ["b", "abc"], [], [], None]
+
+
+def test_elements_of_hostile_markup(spark):
+    """Unclosed, self-closed, nested and half-written tags, against a plain regular expression and a stack."""
+    rng = random.Random(11)
+    bits = ["<t>", "</t>", "<T a='1'>", "</t >", "<t/>", '<t b="/"/>', "<t x<t y>", "</t", "<tt>", "<", ">", "/>", "x", "</ t>", "<b>", "</b>", "<t a='</'/>", "\n", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, h string")
+
+    def cut(match):
+        head, rest = match.split(">", 1)
+        return head, rest[:rest.rindex("</")] if "</" in rest else ""
+
+    def innermost(text):
+        return re.findall(r"(?is)<t\b[^>]*?(?:/>|>[^<]*(?:<(?!/?t\b)[^<]*)*</t\s*>)", text)
+
+    def nested(text):
+        depth = levels = 0
+        for mark in re.findall(r"(?is)</t\s*>|<t\b[^>]*>", text):
+            if mark.startswith("</"):
+                depth = max(depth - 1, 0)
+            else:
+                levels = max(levels, depth + 1)
+                depth += not mark.endswith("/>")
+        found = []
+        for _ in range(levels):
+            found += innermost(text)
+            text = re.sub(r"(?is)<t\b[^>]*?(?:/>|>([^<]*(?:<(?!/?t\b)[^<]*)*)</t\s*>)", lambda m: m[1] or "", text)
+        return found if levels > 1 else innermost(texts[i])
+    for r in df.select("i", markup.elements("h", "t").alias("e"), markup.nested_elements("h", "t").alias("n")).collect():
+        i = r.i
+        assert [tuple(x) for x in r.e] == [cut(m) for m in re.findall(r"(?is)<t\b[^>]*?(?:/>|>.*?</t\s*>)", texts[i])], texts[i]
+        assert [tuple(x) for x in r.n] == [cut(m) for m in nested(texts[i])], texts[i]
+
+
+def test_a_pattern_is_searched_once_per_text(spark):
+    """The text of a unit, a period and a member is found by one search each, not one per place that uses it."""
+    from factloom.plans import documents
+    df = spark.createDataFrame([("<xbrli:unit id='u'><xbrli:measure>a&amp;b</xbrli:measure></xbrli:unit>",)], "html string")
+    parsed = documents.parse_documents(df)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"</{tag}\\s*>") for tag in ("measure", "period", "explicitmember")] == [1, 1, 1]  # 7 each before
+    assert parsed.first().units[0].units_measure == "a&b"
