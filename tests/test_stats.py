@@ -59,9 +59,9 @@ def test_near_pairs_travel_once_per_block_not_per_root_of_the_rows(spark, monkey
 @pytest.mark.parametrize("rows", [
     [(1, [0.0, 0.5]), (2, [0.0, 1.0]), (4, [1.0, 1.0]), (3, [9.0, 9.0]), (5, None)],
     [(1, [0.0, 0.5]), (1, [0.0, 0.5]), (2, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None), (3, [0.5, 0.5])],
-    [(None, [0.0, 0.5]), (None, [0.0, 1.0]), (1, [0.0, 0.0]), (2, [0.0, 1.5]), (4, [0.0, 1.5])]])
+    [(None, [0.0, 0.5]), (7, [0.0, 0.5]), (1, [0.0, 0.0]), (2, [0.0, 1.5]), (4, [0.0, 1.5])]])
 def test_carried_vectors_are_those_of_the_join(spark, monkeypatch, rows):
-    """One row per key, repeated keys and null keys; pairs leave in small parts."""
+    """One row per key, repeated keys and a null key beside another of its vector; pairs leave in small parts."""
     monkeypatch.setattr(pairs, "PART_PAIRS", 2)
     df = spark.createDataFrame(rows, "id int, vec array<float>")
     joined = pairs.attach_pair_vectors(pairs.near_pairs(df, "id", "vec", 2.0), df, "id", ["vec"])
